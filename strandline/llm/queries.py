@@ -5,13 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import tokenizer
+from strandline.llm import leakage, neardup, quality, shards, tokenizer, topk
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.first_blocks(table(spark, sf_dir, "shard_index"), table(spark, sf_dir, "shard_opts"))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of the oversized entries with its padded range."""
+    return shards.pieces(table(spark, sf_dir, "shard_index"), table(spark, sf_dir, "shard_opts"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_reads(neardup.latest_reads(table(spark, sf_dir, "aligned_reads", ["read_id", "seq", "loaded_at"])))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per read: its class of equal sequences, its group of similar ones, and its class's links."""
+    return neardup.read_groups(neardup.latest_reads(table(spark, sf_dir, "aligned_reads", ["read_id", "seq", "loaded_at"])))
+
+
+#: A k-mer is frequent if it has at least one in so many of the counted rows.
+P5_ONE_IN = 1000
+
+
+def _counted_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kmers = table(spark, sf_dir, "kmers", ["forward_kmer", "revcomp_kmer"])
+    return kmers.where((F.col("forward_kmer") != -1) & (F.col("revcomp_kmer") != -1)).select(F.least("forward_kmer", "revcomp_kmer").alias("kmer"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.heavy_hitters(_counted_kmers(spark, sf_dir), "kmer", P5_ONE_IN).select(F.col("value").alias("kmer"))
+
+
+def p5_top100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent k-mers with their counts."""
+    return topk.most_frequent(_counted_kmers(spark, sf_dir), "kmer", 100).select(F.col("value").alias("kmer"), "n")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents", ["doc_id", "text"])).select("doc_id", "ids")
 
@@ -21,11 +58,87 @@ def p7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.decode(p7_ids(spark, sf_dir)).select("doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "eval_items", ["item_id", "text"]))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "common_words"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of each document."""
+    return quality.statistics(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "common_words"))
+
+
+def p9_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics with the calibrated probability that a document is structural junk."""
+    return quality.scored_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "common_words"))
+
+
 QUERIES: dict[str, Query] = {
-    "p7_ids": p7_ids,
-    "p7_round_trip": p7_round_trip,
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p2_found, p2_groups, p5_found, p5_top100, p7_ids, p7_round_trip, p8_found, p9_found, p9_statistics, p9_scored)
 }
 
+_P2_SHINGLES = """
+WITH latest AS (
+  SELECT read_id, upper(seq) AS s FROM (SELECT read_id, seq, row_number() OVER (PARTITION BY read_id ORDER BY loaded_at DESC) AS k FROM aligned_reads)
+  WHERE k = 1 AND seq IS NOT NULL AND seq <> '*'),
+grams AS (
+  SELECT DISTINCT read_id, g FROM (SELECT read_id, substr(s, i, 8) AS g FROM (SELECT read_id, s, unnest(range(1, length(s) - 6)) AS i FROM latest))
+  WHERE regexp_full_match(g, '[ACGT]{8}')),
+sizes AS (SELECT read_id, count(*) AS n FROM grams GROUP BY read_id),
+turned AS (SELECT read_id, reverse(translate(g, 'ACGT', 'TGCA')) AS g FROM grams),
+shared AS (
+  SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.read_id < b.read_id GROUP BY a.read_id, b.read_id
+  UNION ALL
+  SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM turned a JOIN grams b ON a.g = b.g AND a.read_id < b.read_id GROUP BY a.read_id, b.read_id)
+SELECT DISTINCT x AS read_id_a, y AS read_id_b FROM shared JOIN sizes p ON p.read_id = x JOIN sizes q ON q.read_id = y
+WHERE 10 * c >= 4 * (p.n + q.n - c)
+"""
+
+_COUNTED = "SELECT least(forward_kmer, revcomp_kmer) AS kmer FROM kmers WHERE forward_kmer <> -1 AND revcomp_kmer <> -1"
+
+_P8 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+e AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM eval_items WHERE text IS NOT NULL),
+sizes AS (SELECT DISTINCT least(len(w), 13) AS n FROM e WHERE len(w) > 0),
+eg AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM e WHERE len(w) > 0)),
+dg AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (n, g)
+"""
+
+_STATS = r"""
+WITH found AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM found),
+common AS (SELECT list(DISTINCT word) AS c FROM common_words WHERE word IS NOT NULL),
+counted AS (
+  SELECT f.doc_id, CAST(len(w) AS INTEGER) AS n_words, length(array_to_string(w, '')) AS letters,
+    (SELECT count(*) FROM (SELECT unnest(f.w) AS x) WHERE x IN (SELECT word FROM common_words)) AS common,
+    length(translate(t, ' ' || chr(9) || chr(10) || chr(13), '')) AS solid,
+    length(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) AS plain,
+    len(l) AS lines, len(list_filter(l, lambda x: right(x, 1) IN ('.', '!', '?', ';', ':'))) AS ended
+  FROM found f JOIN lines USING (doc_id)),
+stats AS (
+  SELECT doc_id, n_words,
+    CASE WHEN n_words > 0 THEN CAST(letters AS DOUBLE) / n_words ELSE 0.0 END AS mean_word_length,
+    CASE WHEN solid > 0 THEN CAST(solid - plain AS DOUBLE) / solid ELSE 0.0 END AS symbol_ratio,
+    CASE WHEN lines > 0 THEN CAST(ended AS DOUBLE) / lines ELSE 0.0 END AS punctuated_share,
+    CASE WHEN n_words > 0 THEN CAST(common AS DOUBLE) / n_words ELSE 0.0 END AS common_share,
+    CASE WHEN n_words > 0 THEN
+      CASE WHEN common * 100 < n_words * 15 THEN 1 ELSE 0 END + CASE WHEN (solid - plain) * 5 > solid THEN 1 ELSE 0 END
+      + CASE WHEN letters < n_words * 3 OR letters > n_words * 11 THEN 1 ELSE 0 END + CASE WHEN ended * 4 < lines THEN 1 ELSE 0 END
+    ELSE 0 END AS signs
+  FROM counted)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _P2_SHINGLES,
+    "p5_found": f"WITH c AS ({_COUNTED}) SELECT kmer FROM c GROUP BY kmer HAVING count(*) * {P5_ONE_IN} >= (SELECT count(*) FROM c)",
+    "p5_top100": f"SELECT kmer, count(*) AS n FROM ({_COUNTED}) GROUP BY kmer ORDER BY n DESC, kmer LIMIT 100",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_found": _P8,
+    "p9_found": _STATS + "SELECT doc_id FROM stats WHERE n_words > 0 AND signs >= 2",
+    "p9_statistics": _STATS + "SELECT doc_id, n_words, mean_word_length, symbol_ratio, punctuated_share, common_share, CAST(signs AS INTEGER) AS signs FROM stats",
 }

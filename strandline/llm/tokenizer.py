@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.exprs import let
+
 TOKENIZER_DIR = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 
@@ -63,11 +65,6 @@ def _find(table: Column, slots: int, key: Column) -> Column:
     return F.try_element_at(F.get(table, F.xxhash64(key).bitwiseAND(F.lit(slots - 1)).cast("int")), key)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value named once: a literal of megabytes stands in the plan a single time."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _rank_table(path: str) -> Column:
     """Ranks as a literal table; a byte string is written with one character of Latin-1 a byte."""
     return _literal(_slots(((t.decode("latin-1"), r) for t, r in load_ranks(path).items()), RANK_SLOTS), "array<map<string,int>>")
@@ -124,10 +121,10 @@ def merge_word(word: Column, table: Column) -> Column:
 
     def ids(latin: Column) -> Column:
         whole = rank(latin)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.split(latin, "", -1), fold))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(let(F.split(latin, "", -1), fold))
 
     empty = F.array().cast("array<int>")
-    return F.when(word == "", empty).otherwise(_let(F.decode(word.cast("binary"), "ISO-8859-1"), ids))
+    return F.when(word == "", empty).otherwise(let(F.decode(word.cast("binary"), "ISO-8859-1"), ids))
 
 
 def words(text: Column) -> Column:
@@ -156,7 +153,7 @@ def _hot_tables(texts: DataFrame, column: str, ranks: Column, limit: int) -> tup
     """The frequent items with their ids as two literal tables: those with a space before them, named without it,
     and all.  The driver gets at most ``limit`` rows."""
     top = frequent_items(texts, column, limit).repartition(max(1, min(8, limit // 2048)))
-    ids = _let(ranks, lambda table: F.flatten(F.transform(words(F.col("item")), lambda word: merge_word(word, table))))
+    ids = let(ranks, lambda table: F.flatten(F.transform(words(F.col("item")), lambda word: merge_word(word, table))))
     rows = top.select("item", ids.alias("ids")).collect()
     slots = 1 << max(4, (len(rows) // 2).bit_length())
     kind = "array<map<string,array<int>>>"
@@ -185,7 +182,7 @@ def encode(texts: DataFrame, column: str = "text", out: str = "ids", path: str |
 
         return F.flatten(F.transform(F.when(here.rlike(UNCUTTABLE), F.array(here)).otherwise(F.split(here, " ", -1)), unit_ids))
 
-    ids = _let(F.struct(ranks.alias("ranks"), parts.alias("parts"), hot.alias("words")), of_text)
+    ids = let(F.struct(ranks.alias("ranks"), parts.alias("parts"), hot.alias("words")), of_text)
     return texts.withColumn(out, F.when(here != "", ids).otherwise(F.array().cast("array<int>")))
 
 
@@ -195,6 +192,6 @@ def decode(encoded: DataFrame, column: str = "ids", out: str = "text", path: str
     An empty list gives an empty text, a null list null; an id that the vocabulary lacks makes the text null.
     """
     tokens = _token_table(path or os.path.join(TOKENIZER_DIR, BYTE_BPE_50K))
-    pieces = _let(tokens, lambda table: F.transform(F.col(f"`{column}`"), lambda i: F.hex(F.get(table, i))))
+    pieces = let(tokens, lambda table: F.transform(F.col(f"`{column}`"), lambda i: F.hex(F.get(table, i))))
     whole = F.when(F.exists(pieces, lambda p: p.isNull()), F.lit(None)).otherwise(F.unhex(F.array_join(pieces, "")))
     return encoded.withColumn(out, whole.cast("string"))
