@@ -1,12 +1,653 @@
-"""Registry of the core queries and their SQL."""
+"""Registry of the core queries and their SQL.
+
+Names begin with the inventory's id of the operator; pN_ are the record problems.  Every query reads whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions import align
+from strandline.functions import seq as seqs
+from strandline.operators import alignments, annotation, badrows, diff, fusion, periods, pileup
+from strandline.operators import intervals as iv
+from strandline.plans import filterlang
+from strandline.plans.adapters import GTF_SQL, READS_SQL, REFERENCE_LENGTH, REFERENCES, gtf, reads
+from strandline.session import table
+from strandline.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+_READS = f"WITH reads AS ({READS_SQL}) "
+_GTF = f"WITH gtf AS ({GTF_SQL}) "
+
+# Flags and checksums
+
+_PAIR = "(flags & 2304) = 0 AND (flags & 1) <> 0"
+_FLAGSTAT_SQL = f"""
+SELECT qc_fail, count(*) AS total, {", ".join(f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n, c in {
+    "mapped": "(flags & 4) = 0", "duplicate": "(flags & 1024) <> 0", "secondary": "(flags & 256) <> 0",
+    "supplementary": "(flags & 256) = 0 AND (flags & 2048) <> 0", "paired": _PAIR,
+    "good_pair": f"{_PAIR} AND (flags & 2) <> 0 AND (flags & 4) = 0", "single": f"{_PAIR} AND (flags & 8) <> 0 AND (flags & 4) = 0",
+    "pair_map": f"{_PAIR} AND (flags & 12) = 0", "diff_chr": f"{_PAIR} AND (flags & 12) = 0 AND ref_id <> mate_ref_id",
+    "diff_high": f"{_PAIR} AND (flags & 12) = 0 AND ref_id <> mate_ref_id AND mapq >= 5",
+    "r1": f"{_PAIR} AND (flags & 64) <> 0", "r2": f"{_PAIR} AND (flags & 128) <> 0"}.items())}
+FROM (SELECT *, (flags & 512) <> 0 AS qc_fail FROM reads) GROUP BY qc_fail
+"""
+
+
+@query(_READS + _FLAGSTAT_SQL)
+def agg1_flagstat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.flagstat(reads(spark, sf_dir, ["read_id", "flags", "ref_id", "mate_ref_id", "mapq"]))
+
+
+@query(f"SELECT qc_fail, {', '.join(f'CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}' for c in alignments.FLAGSTAT)} FROM (SELECT DISTINCT * FROM flagstat) GROUP BY qc_fail")
+def agg3_merged_flagstat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.merge_flagstat(table(spark, sf_dir, "flagstat").distinct())
+
+
+@query()
+def snk19_flagstat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.flagstat_text(agg1_flagstat(spark, sf_dir))
+
+
+def _hash_sum(value: str, name: str) -> str:
+    number = f"CAST(('0x' || substr(md5(concat_ws('|', concat_ws(':', CAST(ref_id AS VARCHAR), CAST(pos AS VARCHAR)), coalesce({value}, ''))), 1, 15)) AS BIGINT)"
+    return f"CAST(sum(CAST({number} AS HUGEINT)) % 18446744073709551616::HUGEINT AS VARCHAR) AS {name}"
+
+
+_CHECKSUM_SQL = f"""
+SELECT CASE WHEN ref_id < 0 THEN '*' ELSE ref_name END AS ref_name, count(*) AS n_recs, CAST(sum(greatest(pos, 0)) AS BIGINT) AS sum_pos,
+  {_hash_sum('CAST(flags AS VARCHAR)', 'sum_flags')}, {_hash_sum('CAST(mapq AS VARCHAR)', 'sum_mapq')},
+  {_hash_sum("concat_ws(':', CAST(mate_ref_id AS VARCHAR), CAST(mate_pos AS VARCHAR))", 'sum_mate')}, {_hash_sum('read_name', 'sum_name')},
+  {_hash_sum('seq', 'sum_seq')}, {_hash_sum("array_to_string(qual, ',')", 'sum_qual')}, {_hash_sum('cigar', 'sum_cigar')}
+FROM reads GROUP BY 1
+"""
+
+
+@query(_READS + _CHECKSUM_SQL)
+def agg2_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.checksum(reads(spark, sf_dir))
+
+
+# The filter language and views
+
+FILTER = 'paired && !duplicate && !unmapped && (mapping_quality >= 30 || chimeric) && sequence_length > 50 && re(rec_name, "^MX00:[12]")'
+
+
+@query(
+    _READS
+    + """SELECT read_id FROM reads WHERE (flags & 1) <> 0 AND (flags & 1024) = 0 AND (flags & 4) = 0
+  AND (mapq >= 30 OR ((flags & 1) <> 0 AND (flags & 12) = 0 AND ref_id <> mate_ref_id))
+  AND CASE WHEN seq = '*' THEN 0 ELSE length(seq) END > 50 AND regexp_matches(read_name, '^MX00:[12]')"""
+)
+def flt1_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["read_id", "read_name", "flags", "mapq", "ref_id", "mate_ref_id", "seq"]
+    return reads(spark, sf_dir, columns).where(filterlang.compile_filter(FILTER)).select("read_id")
+
+
+_FLAG_COLUMNS = ", ".join(f"(flags & {bit}) <> 0 AS {name}" for name, bit in align.FLAG_NAMES.items())
+
+
+@query(_READS + f"SELECT {_FLAG_COLUMNS}, count(*) AS n FROM reads GROUP BY ALL")
+def flt5_flag_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "flags"])
+    return rows.groupBy(*[align.has_flag(F.col("flags"), bit).alias(name) for name, bit in align.FLAG_NAMES.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _READS
+    + """SELECT read_id FROM reads WHERE (ref_id = 0 AND pos >= 0 AND pos < 50000000) OR (ref_id = 4 AND pos >= 1000000 AND pos < 90000000) OR ref_id = -1"""
+)
+def src24_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    condition = filterlang.compile_regions("chr1:1-50000000,chr5:1000000-chr5:90000000,*:0-*:2147483647", REFERENCES)
+    return reads(spark, sf_dir, ["read_id", "ref_id", "pos"]).where(condition).select("read_id")
+
+
+@query()
+def snk1_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered records as sorted lines of SAM."""
+    from strandline.sources.files import sam_line
+
+    rows = alignments.coordinate_sorted(reads(spark, sf_dir).where(filterlang.compile_filter("mapping_quality >= 40 && !unmapped")))
+    return rows.select("read_id", sam_line().alias("line"))
+
+
+# Order, shards and pairs
+
+
+@query(_READS + "SELECT read_id, CAST(row_number() OVER (PARTITION BY ref_id, CASE WHEN ref_id < 0 AND pos < 0 THEN 0 ELSE pos END ORDER BY read_id) - 1 AS INTEGER) AS seq_no FROM reads")
+def win1_sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.with_sequence_number(reads(spark, sf_dir, ["read_id", "ref_id", "pos"])).select("read_id", "seq_no")
+
+
+@query(_READS + "SELECT read_id, CASE WHEN ref_id < 0 THEN 9223372036854775806 ELSE CAST(ref_id AS BIGINT) * 8589934592 + CAST(pos AS BIGINT) * 2 + CASE WHEN (flags & 16) <> 0 THEN 1 ELSE 0 END END AS sort_key FROM reads")
+def srt1_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignments.coordinate_sorted(reads(spark, sf_dir, ["read_id", "ref_id", "pos", "flags"]))
+    return rows.select("read_id", align.sort_key(F.col("ref_id"), F.col("pos"), F.col("flags")).alias("sort_key"))
+
+
+WIDTH, PADDING = 1_000_000, 1_000
+
+
+@query(
+    f"""WITH cut AS (SELECT CAST(r AS INTEGER) AS ref_id, s AS start, least(s + {WIDTH}, {REFERENCE_LENGTH}) AS "limit" FROM range({len(REFERENCES)}) t(r), range(0, {REFERENCE_LENGTH}, {WIDTH}) u(s)),
+every AS (SELECT ref_id, start, "limit", greatest(start - {PADDING}, 0) AS padded_start, least("limit" + {PADDING}, {REFERENCE_LENGTH}) AS padded_limit FROM cut UNION ALL SELECT -1, 0, 2147483647, 0, 2147483647)
+SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN ref_id < 0 THEN 1000000 ELSE ref_id END, start) - 1 AS INTEGER) AS shard_no FROM every"""
+)
+def prt1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    references = spark.range(len(REFERENCES)).select(F.col("id").cast("int").alias("ref_id"), F.lit(REFERENCE_LENGTH).alias("length"))
+    return alignments.position_shards(references, WIDTH, PADDING, unmapped=True)
+
+
+@query(
+    _READS
+    + f""", counted AS (SELECT ref_id, CAST(floor(pos / {WIDTH}) AS BIGINT) AS shard, count(*) AS n_reads FROM reads WHERE ref_id >= 0 GROUP BY 1, 2)
+SELECT *, CAST(coalesce(sum(n_reads) OVER (ORDER BY ref_id, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_index FROM counted"""
+)
+def agg12_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.shard_counts(reads(spark, sf_dir, ["read_id", "ref_id", "pos"]), WIDTH)
+
+
+_MATES = (
+    _READS
+    + """, primary_reads AS (SELECT * FROM reads WHERE (flags & 1) <> 0 AND (flags & 2304) = 0 AND read_name IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_name ORDER BY read_id) AS k FROM primary_reads WHERE (flags & 64) <> 0 AND (flags & 128) = 0) WHERE k = 1),
+two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_name ORDER BY read_id) AS k FROM primary_reads WHERE (flags & 128) <> 0 AND (flags & 64) = 0) WHERE k = 1)
+"""
+)
+
+
+@query(_MATES + "SELECT read_name, one.read_id AS read_id_1, two.read_id AS read_id_2 FROM one JOIN two USING (read_name)")
+def join1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.read_pairs(reads(spark, sf_dir, ["read_id", "read_name", "flags"])).select("read_name", "read_id_1", "read_id_2")
+
+
+@query(_MATES + "SELECT coalesce(one.read_name, two.read_name) AS read_name, one.read_name IS NOT NULL AS has_first FROM one FULL JOIN two ON one.read_name = two.read_name WHERE one.read_name IS NULL OR two.read_name IS NULL")
+def join1_missing_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.missing_mates(reads(spark, sf_dir, ["read_id", "read_name", "flags"]))
+
+
+_SPAN_SQL = "CAST(list_sum(list_transform(regexp_extract_all(coalesce({0}.cigar, '*'), '(\\d+)[MDN=X]', 1), lambda x: CAST(x AS INTEGER))) AS INTEGER)"
+
+
+@query(
+    _MATES
+    + f""", near AS (SELECT read_name, one.ref_id, least(one.pos, two.pos) AS start,
+  greatest(one.pos + coalesce({_SPAN_SQL.format('one')}, 0), two.pos + coalesce({_SPAN_SQL.format('two')}, 0)) AS "limit", one.read_id AS read_id_1, two.read_id AS read_id_2
+  FROM one JOIN two USING (read_name) WHERE one.ref_id >= 0 AND one.ref_id = two.ref_id AND (one.flags & 4) = 0 AND (two.flags & 4) = 0)
+SELECT * FROM near WHERE "limit" - start <= 1000"""
+)
+def join2_bounded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.bounded_pairs(reads(spark, sf_dir, ["read_id", "read_name", "flags", "ref_id", "pos", "cigar"]))
+
+
+@query(
+    _READS
+    + f""", mine AS (SELECT read_id, mate_ref_id, ref_id, pos, mate_pos, unnest(range(greatest(CAST(floor((mate_pos - {PADDING}) / {WIDTH}) AS BIGINT), 0), CAST(floor((mate_pos + {PADDING}) / {WIDTH}) AS BIGINT) + 1)) AS shard
+  FROM reads WHERE {_PAIR} AND (flags & 12) = 0 AND ref_id >= 0 AND mate_ref_id >= 0 AND mate_pos >= 0),
+bounded AS (SELECT *, greatest(shard * {WIDTH} - {PADDING}, 0) AS low, (shard + 1) * {WIDTH} + {PADDING} AS high FROM mine)
+SELECT read_id, mate_ref_id AS ref_id, shard FROM bounded WHERE mate_pos >= low AND mate_pos < high AND (ref_id <> mate_ref_id OR pos < low OR pos >= high)"""
+)
+def join3_distant_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.distant_mates(reads(spark, sf_dir, ["read_id", "flags", "ref_id", "pos", "mate_ref_id", "mate_pos"]), WIDTH, PADDING)
+
+
+@query(_MATES + "SELECT one.ref_id = two.ref_id AS same_ref, count(*) AS n FROM one JOIN two USING (read_name) GROUP BY 1")
+def agg11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.pair_counts(reads(spark, sf_dir, ["read_id", "read_name", "flags", "ref_id"]))
+
+
+# Intervals
+
+_EXONS = _GTF + """, exons AS (SELECT chrom AS ref, range_start - 1 AS start, range_stop AS "limit" FROM gtf WHERE feature = 'exon' AND range_start <= range_stop AND chrom IS NOT NULL),
+marked AS (SELECT *, max("limit") OVER (PARTITION BY ref ORDER BY start, "limit" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM exons),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ref ORDER BY start, "limit" ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+merged AS (SELECT ref, CAST(min(start) AS BIGINT) AS start, CAST(max("limit") AS BIGINT) AS "limit" FROM numbered GROUP BY ref, run)
+"""
+
+
+def _exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "range_stop"])
+    kept = rows.where((F.col("feature") == "exon") & (F.col("range_start") <= F.col("range_stop")) & F.col("chrom").isNotNull())
+    return kept.select("record_id", F.col("chrom").alias("ref"), (F.col("range_start") - 1).alias("start"), F.col("range_stop").alias("limit"))
+
+
+@query(_EXONS + 'SELECT ref, start, "limit" FROM merged')
+def int1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.union(_exons(spark, sf_dir))
+
+
+@query(
+    _EXONS
+    + """, around AS (SELECT ref, "limit" AS start, coalesce(lead(start) OVER (PARTITION BY ref ORDER BY start), 2147483647) AS "limit" FROM merged UNION ALL SELECT ref, -1, min(start) FROM merged GROUP BY ref)
+SELECT ref, CAST(start AS BIGINT) AS start, CAST("limit" AS BIGINT) AS "limit" FROM around WHERE start < "limit" """
+)
+def int2_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.complement(_exons(spark, sf_dir))
+
+
+@query(_EXONS + 'SELECT ref, CAST(sum("limit" - start) AS BIGINT) AS bases FROM merged GROUP BY ref')
+def agg13_covered_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.covered_bases(_exons(spark, sf_dir))
+
+
+@query(_EXONS + """SELECT ref, greatest(start, 10000000) AS start, least("limit", 60000000) AS "limit" FROM merged WHERE ref = 'chr3' AND "limit" > 10000000 AND start < 60000000""")
+def int8_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.subset(_exons(spark, sf_dir), "chr3", 10_000_000, 60_000_000)
+
+
+@query(
+    _GTF
+    + """, e AS (SELECT record_id, chrom, range_start - 1 AS start, range_stop AS "limit" FROM gtf WHERE feature = 'exon' AND range_start <= range_stop),
+g AS (SELECT record_id, chrom, range_start - 1 AS start, range_stop AS "limit" FROM gtf WHERE feature = 'gene' AND range_start <= range_stop)
+SELECT e.record_id AS record_id, g.record_id AS r_record_id, greatest(e.start, g.start) AS shared_start, least(e."limit", g."limit") AS shared_limit
+FROM e JOIN g ON e.chrom = g.chrom AND e.start < g."limit" AND g.start < e."limit" """
+)
+def int7_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "range_stop"]).where("range_start <= range_stop")
+    sides = [rows.where(F.col("feature") == f).select("record_id", F.col("chrom").alias("ref"), (F.col("range_start") - 1).alias("start"), F.col("range_stop").alias("limit")) for f in ("exon", "gene")]
+    return iv.intersections(*sides).select("record_id", "r_record_id", "shared_start", "shared_limit")
+
+
+_SPAN_ONE = _SPAN_SQL.replace("{0}.", "")
+
+
+@query(
+    _EXONS.replace("WITH gtf", f"WITH reads AS ({READS_SQL}), gtf")
+    + f""", spans AS (SELECT read_id, ref_name AS ref, pos AS start, pos + coalesce({_SPAN_ONE}, 0) AS "limit" FROM reads WHERE ref_id >= 0 AND (flags & 4) = 0)
+SELECT DISTINCT read_id FROM spans s JOIN merged m ON s.ref = m.ref AND s.start < m."limit" AND m.start < s."limit" WHERE s.start < s."limit" """
+)
+def join6_reads_on_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "ref_id", "ref_name", "flags", "pos", "cigar"]).where((F.col("ref_id") >= 0) & ~align.has_flag(F.col("flags"), align.UNMAPPED))
+    spans = rows.select("read_id", F.col("ref_name").alias("ref"), F.col("pos").alias("start"), align.alignment_end(F.col("pos"), F.col("cigar")).alias("limit"))
+    return iv.semi_overlap(spans, _exons(spark, sf_dir), "read_id").select("read_id")
+
+
+@query(_EXONS.replace("WITH gtf", f"WITH reads AS ({READS_SQL}), gtf") + """SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM merged m WHERE m.ref = r.ref_name AND r.pos >= m.start AND r.pos < m."limit")""")
+def join7_positions_in_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = reads(spark, sf_dir, ["read_id", "ref_name", "pos"]).select("read_id", F.col("ref_name").alias("ref"), "pos")
+    return iv.containing(points, _exons(spark, sf_dir)).select("read_id")
+
+
+@query(
+    f"""WITH reads AS ({READS_SQL}), gtf AS ({GTF_SQL}), starts AS (SELECT chrom, range_start - 1 AS at, max(gene_id) AS gene_id FROM gtf WHERE feature = 'gene' AND range_start IS NOT NULL GROUP BY ALL)
+SELECT read_id, gene_id FROM (SELECT * FROM reads WHERE ref_id >= 0) r ASOF LEFT JOIN starts s ON r.ref_name = s.chrom AND r.pos >= s.at"""
+)
+def join8_gene_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of join: the gene that begins last at or before each read."""
+    left = reads(spark, sf_dir, ["read_id", "ref_id", "ref_name", "pos"]).where(F.col("ref_id") >= 0).select("read_id", F.col("ref_name").alias("chrom"), "pos")
+    genes = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "gene_id"]).where((F.col("feature") == "gene") & F.col("range_start").isNotNull())
+    found = iv.floor_lookup(left, genes.select("chrom", (F.col("range_start") - 1).alias("at"), "gene_id"), ["chrom"], "pos", "at", "gene_id")
+    return found.select("read_id", "gene_id")
+
+
+# Sequences
+
+_CLEAN = "regexp_replace(upper(seq), '[^ACGT]', 'N', 'g')"
+
+
+@query(
+    _READS
+    + f"""SELECT read_id, {_CLEAN} AS clean, regexp_matches(seq, '[^ACGT]') AS other, reverse(translate({_CLEAN}, 'ACGT', 'TGCA')) AS revcomp,
+  translate({_CLEAN}, 'ACGTN', '01234') AS codes FROM reads WHERE seq IS NOT NULL"""
+)
+def seq5_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    rows = reads(spark, sf_dir, ["read_id", "seq"]).where(s.isNotNull())
+    return rows.select("read_id", seqs.clean(s).alias("clean"), seqs.has_other_than_acgt(s).alias("other"), seqs.reverse_complement(s).alias("revcomp"), seqs.base_codes(s).alias("codes"))
+
+
+_KNOWN = "regexp_replace(upper(seq), '[^=ACMGRSVTWYHKDBN]', 'N', 'g')"
+
+
+@query(
+    _READS
+    + f"""SELECT read_id, translate({_KNOWN}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') AS packed, {_KNOWN} AS unpacked,
+  reverse(translate(translate({_KNOWN}, '=ACMGRSVTWYHKDBN', '0123456789ABCDEF'), '0123456789ABCDEF', '084C2A6E195D3B7F')) AS turned FROM reads WHERE seq IS NOT NULL"""
+)
+def seq1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = seqs.pack(F.col("seq"))
+    return reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull()).select("read_id", packed.alias("packed"), seqs.unpack(packed).alias("unpacked"), seqs.reverse_complement_packed(packed).alias("turned"))
+
+
+def _count_sql(base: str) -> str:
+    return f"length(regexp_replace(upper(seq), '[^{base}]', '', 'g'))"
+
+
+@query(
+    _READS
+    + f"""SELECT ref_name, CAST(sum({_count_sql('A')}) AS BIGINT) AS a, CAST(sum({_count_sql('C')}) AS BIGINT) AS c, CAST(sum({_count_sql('G')}) AS BIGINT) AS g,
+  CAST(sum({_count_sql('T')}) AS BIGINT) AS t, CAST(sum({_count_sql('CG')}) AS BIGINT) AS cg FROM reads WHERE seq IS NOT NULL GROUP BY ref_name"""
+)
+def agg14_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "ref_name", "seq"]).where(F.col("seq").isNotNull()).withColumn("s", F.upper("seq"))
+    return rows.groupBy("ref_name").agg(*[F.sum(seqs.count_bases(F.col("s"), b).cast("bigint")).alias(b.lower()) for b in ("A", "C", "G", "T", "CG")])
+
+
+@query(
+    _READS
+    + f""", counted AS (SELECT read_id, length(seq) AS n, list_sort([{_count_sql('A')}, {_count_sql('C')}, {_count_sql('G')}, {_count_sql('T')}, {_count_sql('^ACGT').replace('[^^', '[')}], 'DESC') AS most FROM reads WHERE seq IS NOT NULL)
+SELECT read_id FROM counted WHERE n = 0 OR most[1] + most[2] > n * CAST(0.6 AS DOUBLE)"""
+)
+def seq17_low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull())
+    return rows.where(seqs.is_low_complexity(F.col("seq"), 0.6)).select("read_id")
+
+
+_K = 11
+
+
+@query(
+    _READS
+    + f""", cut AS (SELECT substr(upper(seq), i, {_K}) AS w FROM (SELECT seq, unnest(range(1, length(seq) - {_K} + 2)) AS i FROM reads WHERE seq IS NOT NULL)),
+coded AS (SELECT translate(w, 'ACGT', '0123') AS f, reverse(translate(w, 'ACGT', '3210')) AS r FROM cut WHERE regexp_full_match(w, '[ACGT]{{{_K}}}'))
+SELECT least(CAST(list_sum(list_transform(range({_K}), lambda i: CAST(f[i + 1] AS BIGINT) * CAST(power(4, {_K} - 1 - i) AS BIGINT))) AS BIGINT),
+  CAST(list_sum(list_transform(range({_K}), lambda i: CAST(r[i + 1] AS BIGINT) * CAST(power(4, {_K} - 1 - i) AS BIGINT))) AS BIGINT)) AS kmer, count(*) AS n FROM coded GROUP BY 1"""
+)
+def seq24_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of canonical k-mers of all reads."""
+    rows = reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull())
+    each = rows.select(F.inline(seqs.kmers(F.col("seq"), _K)))
+    return each.groupBy(seqs.canonical(F.col("forward"), F.col("revcomp")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _READS
+    + """SELECT ref_name, CASE substr(ref_name, 4) WHEN 'X' THEN 23 WHEN 'Y' THEN 24 WHEN 'M' THEN 25 ELSE CASE WHEN regexp_full_match(substr(ref_name, 4), '[1-9]|1[0-9]|2[0-2]') THEN CAST(substr(ref_name, 4) AS INTEGER) END END AS chrom_no, count(*) AS n
+FROM reads GROUP BY 1, 2"""
+)
+def seq31_chrom_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "ref_name"])
+    return rows.groupBy("ref_name", seqs.chrom_number(F.col("ref_name")).alias("chrom_no")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Alignment records
+
+
+def _clip_sql(pattern: str) -> str:
+    return f"coalesce(CAST(list_sum(list_transform(regexp_extract_all(regexp_extract(coalesce(cigar, ''), '{pattern}', 1), '(\\d+)[SH]', 1), lambda x: CAST(x AS INTEGER))) AS INTEGER), 0)"
+
+
+_LEFT, _RIGHT = _clip_sql("^((?:\\d+[SH])*)"), _clip_sql("((?:\\d+[SH])*)$")
+
+
+@query(
+    _READS
+    + f""", clipped AS (SELECT read_id, flags, pos, {_LEFT} AS l, {_RIGHT} AS r, coalesce({_SPAN_ONE}, 0) AS span FROM reads WHERE ref_id >= 0)
+SELECT read_id, l AS left_clip, r AS right_clip, pos - l AS unclipped_start, pos + span + r - 1 AS unclipped_end, CASE WHEN (flags & 16) <> 0 THEN pos + span + r - 1 ELSE pos - l END AS five_prime FROM clipped"""
+)
+def aln1_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, c, f = F.col("pos"), F.col("cigar"), F.col("flags")
+    rows = reads(spark, sf_dir, ["read_id", "ref_id", "flags", "pos", "cigar"]).where(F.col("ref_id") >= 0)
+    return rows.select(
+        "read_id",
+        align.left_clip(c).alias("left_clip"),
+        align.right_clip(c).alias("right_clip"),
+        align.unclipped_start(p, c).alias("unclipped_start"),
+        align.unclipped_end(p, c).alias("unclipped_end"),
+        align.unclipped_five_prime(p, c, f).alias("five_prime"),
+    )
+
+
+@query(
+    _READS
+    + """SELECT CASE (flags & 212) WHEN 64 THEN 1 WHEN 144 THEN 1 WHEN 128 THEN 2 WHEN 80 THEN 2 ELSE 0 END AS flag_strand,
+  CASE WHEN ref_id <> mate_ref_id THEN 0 WHEN (flags & 240) IN (96, 144) THEN 1 WHEN (flags & 240) IN (80, 160) THEN 2
+    WHEN (flags & 8) <> 0 AND (flags & 48) = 0 THEN 1 WHEN (flags & 8) <> 0 AND (flags & 48) = 48 THEN 2 ELSE 0 END AS pair_strand, count(*) AS n FROM reads GROUP BY 1, 2"""
+)
+def aln6_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "flags", "ref_id", "mate_ref_id"])
+    return rows.groupBy(align.flag_strand(F.col("flags")).alias("flag_strand"), align.pair_strand(F.col("flags"), F.col("ref_id"), F.col("mate_ref_id")).alias("pair_strand")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Pileup
+
+
+def _pileup_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = reads(spark, sf_dir, ["read_id", "read_name", "ref_name", "ref_id", "mate_ref_id", "pos", "mapq", "cigar", "flags", "seq", "qual"]).where(F.col("ref_id") >= 0)
+    genes = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "range_stop"]).where((F.col("feature") == "gene") & (F.col("range_start") <= F.col("range_stop")))
+    return rows.withColumnRenamed("ref_name", "ref"), genes.select(F.col("chrom").alias("ref"), (F.col("range_start") - 1).alias("start"), F.col("range_stop").alias("limit"))
+
+
+@query()
+def pil6_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.pileup(*_pileup_input(spark, sf_dir), pileup.PileupOptions(min_base_quality=20))
+
+
+@query()
+def pil7_stitched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.pileup(*_pileup_input(spark, sf_dir), pileup.PileupOptions(min_base_quality=43, stitch=True))
+
+
+# Fusion building blocks over the k-mer table: a "gene" is the file that a k-mer was scanned from
+
+_HITS = """WITH k AS (SELECT file_id, read_idx, pos, least(forward_kmer, revcomp_kmer) AS kmer FROM kmers WHERE forward_kmer <> -1 AND revcomp_kmer <> -1),
+pairs AS (SELECT DISTINCT kmer, file_id % 100 AS gene FROM k WHERE file_id IS NOT NULL), small AS (SELECT kmer FROM pairs GROUP BY kmer HAVING count(*) <= 5)
+"""
+
+
+def _kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "kmers", ["file_id", "read_idx", "pos", "forward_kmer", "revcomp_kmer"])
+    return rows.where((F.col("forward_kmer") != -1) & (F.col("revcomp_kmer") != -1)).select("file_id", "read_idx", F.col("pos").cast("bigint").alias("pos"), seqs.canonical(F.col("forward_kmer"), F.col("revcomp_kmer")).alias("kmer"))
+
+
+def _gene_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.gene_index(_kmers(spark, sf_dir).select("kmer", (F.col("file_id") % 100).alias("gene")))
+
+
+@query(_HITS + "SELECT kmer, list_sort(list(gene)) AS genes FROM pairs JOIN small USING (kmer) GROUP BY kmer")
+def fus5_gene_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gene_index(spark, sf_dir)
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _kmers(spark, sf_dir).withColumn("fragment", F.concat_ws(":", "file_id", "read_idx")).join(_gene_index(spark, sf_dir), "kmer")
+    return fusion.gene_ranges(hits.select("fragment", F.explode("genes").alias("gene"), "pos"), 23)
+
+
+_RANGES = (
+    _HITS
+    + """, hits AS (SELECT DISTINCT concat_ws(':', file_id, read_idx) AS fragment, gene, CAST(pos AS BIGINT) AS pos FROM k JOIN small USING (kmer) JOIN pairs USING (kmer)),
+marked AS (SELECT *, CASE WHEN pos <= lag(pos) OVER w + 23 THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY fragment, gene ORDER BY pos)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY fragment, gene ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+ranges AS (SELECT fragment, gene, min(pos) AS start, max(pos) + 23 AS "limit" FROM numbered GROUP BY fragment, gene, run),
+spans AS (SELECT fragment, gene, CAST(sum("limit" - start) AS BIGINT) AS span FROM ranges GROUP BY fragment, gene)
+"""
+)
+
+
+@query(_RANGES + 'SELECT fragment, gene, start, "limit" FROM ranges')
+def fus6_gene_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranges(spark, sf_dir)
+
+
+@query(_RANGES + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY fragment ORDER BY span DESC, gene) AS INTEGER) AS place FROM spans) WHERE place <= 5")
+def fus7_top_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.top_genes(fusion.gene_spans(_ranges(spark, sf_dir)))
+
+
+@query(_RANGES + "SELECT genes, count(*) AS fragments FROM (SELECT CAST(least(count(*), 4) AS INTEGER) AS genes FROM spans GROUP BY fragment) GROUP BY genes")
+def agg10_gene_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.gene_count_histogram(fusion.gene_spans(_ranges(spark, sf_dir)))
+
+
+# Annotation
+
+_COLUMNS = ["record_id", "chrom", "feature", "range_start", "range_stop", "strand", "gene_id", "transcript_id", "gene_type"]
+
+
+@query(
+    _GTF
+    + """, ok AS (SELECT * FROM gtf WHERE range_start <= range_stop), genes AS (SELECT DISTINCT gene_id, chrom FROM ok WHERE feature = 'gene'),
+one AS (SELECT transcript_id, gene_id, chrom, strand, gene_type FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY record_id) AS k FROM ok WHERE feature = 'transcript' AND transcript_id IS NOT NULL) WHERE k = 1),
+e AS (SELECT transcript_id, gene_id, chrom, count(*) AS n_exons, CAST(sum(range_stop - range_start + 1) AS BIGINT) AS exon_bases FROM ok WHERE feature = 'exon' GROUP BY ALL)
+SELECT transcript_id, gene_id, chrom, strand, gene_type, n_exons, exon_bases FROM one SEMI JOIN genes USING (gene_id, chrom) JOIN e USING (transcript_id, gene_id, chrom)"""
+)
+def gtf1_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.transcripts(gtf(spark, sf_dir, _COLUMNS))
+
+
+@query(
+    _GTF
+    + """SELECT record_id, feature FROM gtf g WHERE feature = 'transcript' AND NOT EXISTS (SELECT 1 FROM gtf x WHERE x.feature = 'gene' AND x.gene_id = g.gene_id)
+UNION ALL SELECT record_id, feature FROM gtf g WHERE feature = 'exon' AND NOT EXISTS (SELECT 1 FROM gtf x WHERE x.feature = 'transcript' AND x.transcript_id = g.transcript_id)"""
+)
+def join12_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.orphans(gtf(spark, sf_dir, _COLUMNS))
+
+
+@query(
+    _GTF
+    + """, wide AS (SELECT transcript_id, chrom, greatest(range_start - 250, 1) AS a, range_stop + 250 AS b FROM gtf WHERE feature = 'exon' AND range_start <= range_stop),
+marked AS (SELECT *, max(b) OVER (PARTITION BY transcript_id, chrom ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY transcript_id, chrom ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT transcript_id, chrom, min(a) AS range_start, max(b) AS range_stop FROM numbered GROUP BY transcript_id, chrom, run"""
+)
+def gtf2_padded_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.padded_exons(gtf(spark, sf_dir, _COLUMNS), 250).select("transcript_id", "chrom", "range_start", "range_stop")
+
+
+@query(
+    _GTF
+    + """, genes AS (SELECT gene_id, chrom, min(range_start) AS start FROM gtf WHERE feature = 'gene' AND range_start <= range_stop AND gene_id IS NOT NULL GROUP BY ALL)
+SELECT gene_id, chrom, CAST(row_number() OVER (PARTITION BY chrom ORDER BY start, gene_id) - 1 AS INTEGER) AS place FROM genes"""
+)
+def gtf4_gene_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.gene_places(gtf(spark, sf_dir, _COLUMNS))
+
+
+# Raw reads: sampling and UMIs
+
+_FIELD = '[^",]*|"(?:[^"]|"")*"'
+_LINES = f"""WITH lines AS (SELECT raw_id, CASE WHEN raw_line LIKE '%' || chr(13) THEN left(raw_line, length(raw_line) - 1) ELSE coalesce(raw_line, '') END AS l FROM fastq_raw),
+cut AS (SELECT raw_id, l, {", ".join(f"regexp_extract(l, '(?s)^({_FIELD}),({_FIELD}),({_FIELD}),({_FIELD})$', {i}) AS f{i}" for i in range(1, 5))} FROM lines),
+fields AS (SELECT raw_id, l, {", ".join(f"CASE WHEN left(f{i}, 1) = chr(34) THEN replace(substr(f{i}, 2, length(f{i}) - 2), repeat(chr(34), 2), chr(34)) ELSE f{i} END AS g{i}" for i in range(1, 5))} FROM cut),
+judged AS (SELECT *, CASE WHEN NOT regexp_full_match(l, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') THEN 'quoting' WHEN l = '' OR NOT regexp_full_match(l, '(?s)(?:{_FIELD})(?:,(?:{_FIELD})){{3}}') THEN 'columns'
+  WHEN left(g1, 1) <> '@' THEN 'id' WHEN left(g3, 1) <> '+' THEN 'unk' WHEN length(g2) <> length(g4) OR NOT regexp_full_match(g4, '[!-~]*') THEN 'qual' END AS reason FROM fields)
+"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str, edits: bool = False) -> DataFrame:
+    return badrows.parse_reads(table(spark, sf_dir, "fastq_raw", ["raw_id", "raw_line"]), edits=edits)
+
+
+@query(_LINES + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir, edits=True).where(F.col("reason").isNotNull()).select("raw_id", "reason")
+
+
+@query(_LINES + "SELECT raw_id, g1 AS id, g2 AS seq, g3 AS unk, g4 AS qual FROM judged WHERE reason IS NULL")
+def p6_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).where(F.col("reason").isNull()).select("raw_id", "id", "seq", "unk", "qual")
+
+
+@query()
+def p6_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that fail, with the cheapest edits that would give them four fields."""
+    return _parsed(spark, sf_dir, edits=True).where(F.col("reason").isNotNull()).select("raw_id", "reason", "edit_cost", "edits")
+
+
+RATE = 0.25
+_MOST = int(RATE * 16**15)
+
+
+@query(_LINES + f"SELECT raw_id FROM judged WHERE reason IS NULL AND CAST(('0x' || substr(md5(g1), 1, 15)) AS BIGINT) < {_MOST}")
+def smp1_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the reads, chosen by a hash of the id, so that mates stay together on every run."""
+    number = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return p6_reads(spark, sf_dir).where(number < _MOST).select("raw_id")
+
+
+KNOWN_UMIS = ["ACGTAC", "CAGCGG", "GTTACA", "TTGGCC", "AAACCC", "CTCGCA"]
+_BARCODE = "regexp_extract(g1, ':([ACGTN]{6})$', 1)"
+
+
+@query(
+    _LINES
+    + f""", b AS (SELECT raw_id, {_BARCODE} AS umi FROM judged WHERE reason IS NULL AND {_BARCODE} <> ''), d AS (SELECT raw_id, umi, k, levenshtein(umi, k) AS e FROM b, unnest({KNOWN_UMIS}) AS t(k)),
+m AS (SELECT raw_id, umi, min(e) AS least FROM d GROUP BY raw_id, umi), c AS (SELECT m.raw_id, m.umi, least, count(*) AS n, min(k) AS near FROM m JOIN d ON d.raw_id = m.raw_id AND d.e = least GROUP BY ALL)
+SELECT raw_id, umi, CASE WHEN n = 1 THEN near ELSE umi END AS corrected, CAST(CASE WHEN n = 1 THEN least ELSE -1 END AS INTEGER) AS edits, n = 1 AND least > 0 AS changed FROM c"""
+)
+def seq21_snapped_umis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p6_reads(spark, sf_dir).select("raw_id", F.regexp_extract("id", ":([ACGTN]{6})$", 1).alias("umi")).where(F.col("umi") != "")
+    return fusion.snap_umis(rows, "umi", KNOWN_UMIS)
+
+
+# Two copies and periods
+
+_CHECKSUM_FIELDS = ["n_recs", *diff.SUMS]
+_BLANK = "'^[\\s\\x{00A0}]+|[\\s\\x{00A0}]+$'"
+_P3 = f"""WITH b AS (SELECT file_id, regexp_replace(ref_name, {_BLANK}, '', 'g') AS ref_name, CAST(n_recs AS HUGEINT) AS n_recs, {", ".join(f"CAST(TRY_CAST(regexp_replace({c}, {_BLANK}, '', 'g') AS UBIGINT) AS HUGEINT) AS {c}" for c in diff.SUMS)}, computed_at FROM checksum_bam),
+p AS (SELECT file_id, regexp_replace(ref_name, {_BLANK}, '', 'g') AS ref_name, CAST(n_recs AS HUGEINT) AS n_recs, {", ".join(f"CASE WHEN {c} < 0 THEN CAST({c} AS HUGEINT) + 18446744073709551616::HUGEINT ELSE CAST({c} AS HUGEINT) END AS {c}" for c in diff.SUMS)}, computed_at FROM checksum_pam),
+bl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, ref_name ORDER BY computed_at DESC) AS k FROM b) WHERE k = 1),
+pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, ref_name ORDER BY computed_at DESC) AS k FROM p) WHERE k = 1)
+SELECT file_id, ref_name, 'missing_in_pam' AS field_name FROM bl WHERE NOT EXISTS (SELECT 1 FROM pl WHERE pl.file_id IS NOT DISTINCT FROM bl.file_id AND pl.ref_name IS NOT DISTINCT FROM bl.ref_name)
+UNION ALL SELECT file_id, ref_name, 'missing_in_bam' FROM pl WHERE NOT EXISTS (SELECT 1 FROM bl WHERE pl.file_id IS NOT DISTINCT FROM bl.file_id AND pl.ref_name IS NOT DISTINCT FROM bl.ref_name)
+""" + "".join(f"UNION ALL SELECT bl.file_id, bl.ref_name, '{c}' FROM bl JOIN pl ON pl.file_id IS NOT DISTINCT FROM bl.file_id AND pl.ref_name IS NOT DISTINCT FROM bl.ref_name WHERE bl.{c} IS DISTINCT FROM pl.{c}\n" for c in _CHECKSUM_FIELDS)
+
+
+@query(_P3)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.checksum_differences(table(spark, sf_dir, "checksum_bam"), table(spark, sf_dir, "checksum_pam")).select("file_id", "ref_name", "field_name")
+
+
+@query()
+def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The differences with both values."""
+    return diff.checksum_differences(table(spark, sf_dir, "checksum_bam"), table(spark, sf_dir, "checksum_pam"))
+
+
+@query(
+    _GTF
+    + """, e AS (SELECT gene_id, chrom, range_start AS a, range_stop AS b FROM gtf WHERE feature = 'exon' AND range_start <= range_stop),
+marked AS (SELECT *, max(b) OVER (PARTITION BY gene_id, chrom ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY gene_id, chrom ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+m AS (SELECT gene_id, chrom, min(a) AS range_start, max(b) AS range_stop FROM numbered GROUP BY gene_id, chrom, run)
+SELECT gene_id, chrom, 'merged' AS kind, range_start, range_stop FROM m
+UNION ALL SELECT gene_id, chrom, 'gap', lo, hi FROM (SELECT gene_id, chrom, range_stop + 1 AS lo, lead(range_start) OVER (PARTITION BY gene_id, chrom ORDER BY range_start) - 1 AS hi FROM m) WHERE hi IS NOT NULL"""
+)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.exon_periods(table(spark, sf_dir, "gtf_records"))
+
+
+# Streams
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2")
+def str1_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts; the same expression runs on a stream."""
+    return streams.tumbling_counts(table(spark, sf_dir, "events", ["ts", "event_type", "value"]), "ts", "event_type", "value").select("event_type", "window_start", "n")
+
+
+@query(
+    """WITH marked AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM numbered GROUP BY user_id, run"""
+)
+def str5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sessions(table(spark, sf_dir, "events", ["ts", "user_id"]), "ts", "user_id")
+
+
+@query("SELECT count(DISTINCT event_id) AS n FROM events")
+def str6_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events once each, by a stream that is replayed to its end."""
+    path = f"{sf_dir}/events.parquet"
+    return streams.replay(spark, path, lambda e: streams.first_of_each(e, "ts", ["event_id"], "3650 days")).agg(F.count(F.lit(1)).alias("n"))
