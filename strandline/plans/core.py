@@ -423,8 +423,8 @@ def aln6_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pileup_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = reads(spark, sf_dir, ["read_id", "read_name", "ref_name", "ref_id", "mate_ref_id", "pos", "mapq", "cigar", "flags", "seq", "qual"]).where(F.col("ref_id") >= 0)
-    genes = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "range_stop"]).where((F.col("feature") == "gene") & (F.col("range_start") <= F.col("range_stop")))
-    return rows.withColumnRenamed("ref_name", "ref"), genes.select(F.col("chrom").alias("ref"), (F.col("range_start") - 1).alias("start"), F.col("range_stop").alias("limit"))
+    whole = spark.range(len(REFERENCES)).select(F.get(F.array(*[F.lit(r) for r in REFERENCES]), F.col("id").cast("int")).alias("ref"), F.lit(0).alias("start"), F.lit(REFERENCE_LENGTH).alias("limit"))
+    return rows.withColumnRenamed("ref_name", "ref"), whole
 
 
 @query()

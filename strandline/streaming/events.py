@@ -16,23 +16,28 @@ from pyspark.sql import functions as F
 from strandline.session import ensure_checkpoint_dir
 
 
+def _timed(events: DataFrame, at: str) -> DataFrame:
+    """Watermarks need timestamps with a zone; those without one are taken in the session's."""
+    return events.withColumn(at, F.col(at).cast("timestamp")) if events.isStreaming else events
+
+
 def tumbling_counts(events: DataFrame, at: str, key: str, value: str, width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
     """(key, window_start, n, total): counts of fixed windows, final once the watermark has passed them."""
-    marked = events.withWatermark(at, lateness) if events.isStreaming else events
+    marked = _timed(events, at).withWatermark(at, lateness) if events.isStreaming else events
     sums = marked.groupBy(F.window(at, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return sums.select(key, F.col("window.start").alias("window_start"), "n", "total")
 
 
 def sessions(events: DataFrame, at: str, key: str, gap: str = "30 minutes", lateness: str = "1 day") -> DataFrame:
     """(key, session_start, session_end, n): runs of events of a key without a pause of ``gap``."""
-    marked = events.withWatermark(at, lateness) if events.isStreaming else events
+    marked = _timed(events, at).withWatermark(at, lateness) if events.isStreaming else events
     runs = marked.groupBy(F.session_window(at, gap), key).agg(F.count(F.lit(1)).alias("n"))
     return runs.select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
 def first_of_each(events: DataFrame, at: str, keys: list[str], lateness: str = "1 day") -> DataFrame:
     """One event of each key within the watermark; of a finite table any one of each key."""
-    return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _timed(events, at).withWatermark(at, lateness).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def paired_in_time(left: DataFrame, right: DataFrame, key: str, at: str, within: str = "10 minutes", lateness: str = "1 day") -> DataFrame:
@@ -41,6 +46,7 @@ def paired_in_time(left: DataFrame, right: DataFrame, key: str, at: str, within:
     The right side's columns get the prefix ``r_``.  Left events without a partner come out with nulls once the
     watermark has passed (left outer).
     """
+    left, right = _timed(left, at), _timed(right, at)
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     if left.isStreaming:
         left, b = left.withWatermark(at, lateness), b.withWatermark(f"r_{at}", lateness)
@@ -59,4 +65,4 @@ def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataF
     source = spark.readStream.schema(schema).parquet(path)
     query = operator(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(operator(spark.read.parquet(path)).schema).parquet(f"{base}/out")
+    return spark.read.schema(operator(spark.readStream.schema(schema).parquet(path)).schema).parquet(f"{base}/out")
