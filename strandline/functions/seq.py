@@ -6,6 +6,7 @@ a base (1 A, 2 C, 4 G, 8 T, 15 any).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -157,3 +158,41 @@ def clip_qualities(qual: Column, n: int, value: int = 2) -> Column:
 
 def trim(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
+
+
+def edit_distance_reading_on(a: str, b: str, after_a: str = "", after_b: str = "") -> int:
+    """The edit distance of two words of one length, cut from longer sequences.
+
+    A word that lost letters is filled up with those that follow it.  So while the last step to the corner drops a
+    letter of one word, the other is read on by one of the letters that follow; the smaller of the distances at the
+    first and the last corner counts.
+    """
+    if len(a) != len(b):
+        raise ValueError("words of one length are needed")
+    x, y = a + after_a, b + after_b
+    row = list(range(len(y) + 1))
+    table = [row]
+    for i, p in enumerate(x, 1):
+        last, row = row, [i]
+        for j, q in enumerate(y, 1):
+            row.append(last[j - 1] if p == q else 1 + min(last[j - 1], last[j], row[j - 1]))
+        table.append(row)
+    i = j = len(a)
+    while i and j and x[i - 1] != y[j - 1]:
+        here = table[i][j] - 1
+        longer_y, longer_x = table[i - 1][j] == here and j < len(y), table[i][j - 1] == here and i < len(x)
+        if not (longer_x or longer_y):
+            break
+        i, j = i + longer_x, j + longer_y
+    return min(table[len(a)][len(b)], table[i][j])
+
+
+def edit_distance_column(a: Column, b: Column, after_a: Column, after_b: Column) -> Column:
+    """``edit_distance_reading_on`` of four columns, in Arrow batches; null if any is null."""
+
+    @F.pandas_udf("int")
+    def of(a: pd.Series, b: pd.Series, after_a: pd.Series, after_b: pd.Series) -> pd.Series:
+        rows = zip(a, b, after_a, after_b, strict=True)
+        return pd.Series([None if None in r else edit_distance_reading_on(*r) for r in rows], dtype="Int32")
+
+    return of(a, b, after_a, after_b)
