@@ -92,16 +92,24 @@ def containing(points: DataFrame, intervals: DataFrame, width: int = BIN) -> Dat
     return points.join(merged, inside, "left_semi")
 
 
-def floor_lookup(left: DataFrame, right: DataFrame, keys: list[str], at: str, key_at: str, value: str) -> DataFrame:
+def floor_lookup(left: DataFrame, right: DataFrame, keys: list[str], at: str, key_at: str, value: str, width: int = BIN) -> DataFrame:
     """As-of join: to each left row the ``value`` of the right row with the greatest ``key_at`` not above ``at``.
 
-    Left rows before every right row get null.  Ties of ``key_at`` go to the greatest value.  One sort of both
-    sides by key and position, no pairs.
+    Left rows before every right row, and those with a null key or position, get null.  Ties of ``key_at`` go to the
+    greatest value.  Both sides are sorted within bins of ``width`` positions, so a hot key is many tasks; what a bin
+    takes over from earlier ones comes from a table of bins.
     """
-    none = F.lit(None)
-    names = [c for c in left.columns if c not in keys]
-    one = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in names]).alias("__row"), none.cast(right.schema[value].dataType).alias("__value"))
-    two = right.groupBy(*keys, F.col(key_at).alias("__at")).agg(F.max(value).alias("__value")).select(*keys, F.col("__at").cast(left.schema[at].dataType).alias("__at"), F.lit(0).alias("__side"), none.cast(one.schema["__row"].dataType).alias("__row"), "__value")
-    order = W.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = one.unionByName(two).withColumn("__found", F.last(F.when(F.col("__side") == 0, F.struct("__value")), ignorenulls=True).over(order))
-    return found.where(F.col("__side") == 1).select(*keys, "__row.*", F.col("__found.__value").alias(value))
+    names, kind = [c for c in left.columns if c not in keys], right.schema[value].dataType
+    k = [f"__k{i}" for i in range(len(keys))]
+    one = left.select(*[F.col(c).alias(x) for c, x in zip(keys, k, strict=True)], F.col(at).cast("bigint").alias("__at"), F.lit(1).alias("__side"), F.struct(*names).alias("__row"), F.lit(None).cast(kind).alias("__value"))
+    two = right.groupBy(*[F.col(c).alias(x) for c, x in zip(keys, k, strict=True)], F.col(key_at).cast("bigint").alias("__at")).agg(F.max(value).alias("__value")).where(F.col("__at").isNotNull())
+    two = two.select(*k, "__at", F.lit(0).alias("__side"), F.lit(None).cast(one.schema["__row"].dataType).alias("__row"), "__value")
+    both = one.unionByName(two).withColumn("__bin", F.expr(f"(__at - pmod(__at, {width})) div {width}"))
+    here = F.when(F.col("__side") == 0, F.struct("__value"))
+    within = W.partitionBy(*k, "__bin").orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("__found", F.last(here, ignorenulls=True).over(within)).where(F.col("__side") == 1)
+    bins = both.groupBy(*k, "__bin").agg(F.max_by(here, F.when(F.col("__side") == 0, F.col("__at"))).alias("__last"))
+    earlier = W.partitionBy(*k).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = bins.withColumn("__carried", F.last("__last", ignorenulls=True).over(earlier)).select(*k, "__bin", "__carried")
+    joined = found.join(carried, [*k, "__bin"], "left")
+    return joined.select(*[F.col(x).alias(c) for c, x in zip(keys, k, strict=True)], "__row.*", F.coalesce("__found", "__carried")["__value"].alias(value))
