@@ -29,8 +29,8 @@ THRESHOLD = 0.4
 #: Bins of the signature, bins of a band, number of bands.  Two classes of similarity s agree on a bin with
 #: probability s; at 0.4 and 150 bands of 3 bins some 9.6 bands agree.
 BINS, ROWS, BANDS = 64, 3, 150
-#: Sequences whose bands are grouped before the shuffle.
-BATCH = 8192
+#: Sequences whose bands are grouped before the shuffle; some 60 MB of arrays.
+BATCH = 2048
 
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _i, _letter in enumerate(b"ACGT"):
@@ -120,7 +120,7 @@ def band_keys(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rows, BANDS), keys.ravel()
 
 
-_LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("centre", T.LongType())])
+_LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
 
 
 def _rank(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -129,9 +129,10 @@ def _rank(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, null) of one member of each bucket, and (null, id, centre) that link the batch's other members to it.
+    """Rows (key, id) of one member of each bucket, and (-1 - centre, id) that link the batch's other members to it.
 
-    A bucket that holds a third of all rows thus sends one row a batch to the shuffle.
+    A bucket that holds a third of all rows thus sends one row a batch to the shuffle.  Keys aren't negative, so the
+    links need no column of their own.
     """
     for part in parts:
         ids = part.column(0).to_numpy(zero_copy_only=False)
@@ -141,37 +142,30 @@ def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, member = key[order], member[order]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
-        centre = member[first][np.cumsum(first) - 1] if len(key) else member
-        linked = np.unique(np.stack([member[~first], centre[~first]], axis=1), axis=0) if len(key) else np.zeros((0, 2), dtype=np.int64)
-        linked = linked[linked[:, 0] != linked[:, 1]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([pa.array(key[first]), pa.nulls(len(linked), pa.int64())]),
-                pa.concat_arrays([pa.array(member[first]), pa.array(linked[:, 0].copy())]),
-                pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(linked[:, 1].copy())]),
-            ],
-            names=["key", "id", "centre"],
-        )
-
-
-def _in_big_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
+        links = np.zeros((0, 2), dtype=np.int64)
+        if not first.all():
+            centre = member[first][np.cumsum(first) - 1]
+            links = np.unique(np.stack([-1 - centre[~first], member[~first]], axis=1), axis=0)
+            links = links[links[:, 1] != -1 - links[:, 0]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], links[:, 0]])), pa.array(np.concatenate([member[first], links[:, 1]]))], names=["key", "id"])
+
+
+def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        held.append(part)
-        if sum(p.num_rows for p in held) >= BATCH:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for begin in range(0, part.num_rows, BATCH):
+            yield part.slice(begin, BATCH)
 
 
 def star_edges(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the candidates, each bucket's members linked to its centre.  ``classes`` has (id, seq)."""
-    rows = classes.select("id", "seq").mapInArrow(lambda parts: _bucket_rows(_in_big_batches(parts)), _LINKS)
-    rows = rows.repartition(shuffle_partitions(classes.sparkSession, 4), F.coalesce("key", F.xxhash64("id", "centre")))
+    """(a, b), a < b: the candidates, each bucket's members linked to its centre.  ``classes`` has (id, seq).
+
+    Ids aren't negative.
+    """
+    rows = classes.select("id", "seq").mapInArrow(lambda parts: _bucket_rows(_sliced(parts)), _LINKS)
+    rows = rows.repartition(shuffle_partitions(classes.sparkSession, 4), "key")
     bucket = W.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    spread = rows.where(F.col("key").isNotNull()).withColumn("centre", F.first("id").over(bucket)).where(F.col("id") != F.col("centre"))
-    edges = spread.select("id", "centre").unionAll(rows.where(F.col("key").isNull()).select("id", "centre"))
+    centre = F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.first("id").over(bucket))
+    edges = rows.select("id", centre.alias("centre")).where(F.col("id") != F.col("centre"))
     return edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
