@@ -62,7 +62,9 @@ def replay(spark: SparkSession, path: str, operator: Callable[[DataFrame], DataF
     ensure_checkpoint_dir(spark)
     base = os.path.join(spark.sparkContext.getCheckpointDir() or "", f"stream-{uuid.uuid4().hex}")
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path)
+    # As a pattern the path may name a folder or a single file.
+    pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
+    source = spark.readStream.schema(schema).parquet(pattern)
     query = operator(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(operator(spark.readStream.schema(schema).parquet(path)).schema).parquet(f"{base}/out")
+    return spark.read.schema(operator(source).schema).parquet(f"{base}/out")
