@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import align
 from strandline.functions import seq as seqs
-from strandline.operators import alignments, annotation, badrows, diff, fusion, periods, pileup
+from strandline.operators import alignments, annotation, badrows, diff, fusion, kmers, periods, pileup
 from strandline.operators import intervals as iv
 from strandline.plans import filterlang
 from strandline.plans.adapters import GTF_SQL, READS_SQL, REFERENCE_LENGTH, REFERENCES, gtf, reads
@@ -364,8 +364,7 @@ SELECT least(CAST(list_sum(list_transform(range({_K}), lambda i: CAST(f[i + 1] A
 )
 def seq24_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of canonical k-mers of all reads."""
-    rows = reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull())
-    each = rows.select(F.inline(seqs.kmers(F.col("seq"), _K)))
+    each = kmers.exploded_kmers(reads(spark, sf_dir, ["read_id", "seq"]), "read_id", "seq", _K)
     return each.groupBy(seqs.canonical(F.col("forward"), F.col("revcomp")).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
