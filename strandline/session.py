@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,23 @@ from pyspark.sql import types as T
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the session's Python workers, once: they needn't have it installed or on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def build_session(master: str = "local[8]", app: str = "strandline", partitions: int = 8, **conf: str) -> SparkSession:
     """A session with the settings that the library is tuned for: UTC, adaptive plans, Arrow."""
     settings = {
@@ -28,7 +47,9 @@ def build_session(master: str = "local[8]", app: str = "strandline", partitions:
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
