@@ -120,7 +120,7 @@ def band_keys(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(rows, BANDS), keys.ravel()
 
 
-_LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
+_LINKS = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
 
 def _rank(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -129,10 +129,10 @@ def _rank(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id) of one member of each bucket, and (-1 - centre, id) that link the batch's other members to it.
+    """A row of each bucket: its key, one member, and the batch's other members of it (null if there are none).
 
-    A bucket that holds a third of all rows thus sends one row a batch to the shuffle.  Keys aren't negative, so the
-    links need no column of their own.
+    A bucket that holds a third of all rows thus sends one row a batch to the shuffle, and every member still comes
+    with its bucket's key.
     """
     for part in parts:
         ids = part.column(0).to_numpy(zero_copy_only=False)
@@ -142,12 +142,10 @@ def _bucket_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, member = key[order], member[order]
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[1:] != key[:-1]
-        links = np.zeros((0, 2), dtype=np.int64)
-        if not first.all():
-            centre = member[first][np.cumsum(first) - 1]
-            links = np.unique(np.stack([-1 - centre[~first], member[~first]], axis=1), axis=0)
-            links = links[links[:, 1] != -1 - links[:, 0]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], links[:, 0]])), pa.array(np.concatenate([member[first], links[:, 1]]))], names=["key", "id"])
+        ends = np.concatenate([[0], np.cumsum(~first)])[np.append(np.flatnonzero(first), len(key))]
+        lone = np.append(np.diff(ends) == 0, False)
+        others = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=lone), pa.array(member[~first]))
+        yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(member[first]), others], names=["key", "id", "others"])
 
 
 def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +155,13 @@ def _sliced(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def star_edges(classes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the candidates, each bucket's members linked to its centre.  ``classes`` has (id, seq).
-
-    Ids aren't negative.
-    """
+    """(a, b), a < b: the candidates, each bucket's members linked to its centre.  ``classes`` has (id, seq)."""
     rows = classes.select("id", "seq").mapInArrow(lambda parts: _bucket_rows(_sliced(parts)), _LINKS)
     rows = rows.repartition(shuffle_partitions(classes.sparkSession, 4), "key")
     bucket = W.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    centre = F.when(F.col("key") < 0, -1 - F.col("key")).otherwise(F.first("id").over(bucket))
-    edges = rows.select("id", centre.alias("centre")).where(F.col("id") != F.col("centre"))
+    centred = rows.select("id", "others", F.first("id").over(bucket).alias("centre")).where((F.col("id") != F.col("centre")) | F.col("others").isNotNull())
+    members = F.concat(F.array("id"), F.coalesce("others", F.array().cast("array<bigint>")))
+    edges = centred.select(F.explode(members).alias("id"), "centre").where(F.col("id") != F.col("centre"))
     return edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 

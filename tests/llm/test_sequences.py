@@ -46,6 +46,40 @@ def test_pairs_match_all_pairs(spark, rows):
     assert len(want - set(found)) <= 0.005 * len(want)
 
 
+def test_every_member_is_linked_to_its_buckets_centre(spark):
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    base = "".join(rng.choice("ACGT") for _ in range(100))
+    texts = list({base[:i] + "".join(rng.choice("ACGT") for _ in range(3)) + base[i + 3 :] for i in (rng.randrange(97) for _ in range(3000))})
+    classes = spark.createDataFrame(list(enumerate(texts)), "id bigint, seq string").repartition(48)
+    linked = {}
+    for r in neardup.star_edges(classes).collect():
+        linked.setdefault(r.a, set()).add(r.b)
+        linked.setdefault(r.b, set()).add(r.a)
+    buckets = {}
+    for row, key in zip(*(x.tolist() for x in neardup.band_keys(pa.array(texts)))):
+        buckets.setdefault(key, set()).add(row)
+    assert max(map(len, buckets.values())) > 1000
+    assert [k for k, ids in buckets.items() if not any(ids - {c} <= linked.get(c, set()) for c in ids)] == []
+
+
+def test_pairs_of_a_group_in_many_slices(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("ACGT") for _ in range(100))
+    texts = set()
+    while len(texts) < 600:
+        s = list(base)
+        for _ in range(5):
+            s[rng.randrange(100)] = rng.choice("ACGT")
+        texts.add("".join(s))
+    rows = list(enumerate(sorted(texts)))
+    classes = spark.createDataFrame(rows, "id bigint, seq string").repartition(48)
+    found = {(r.a, r.b) for r in neardup.class_pairs(classes).collect()}
+    want = plain_pairs(rows)
+    assert found <= want and len(want - found) <= 0.005 * len(want)
+
+
 def test_groups(spark, rows):
     got = {r.read_id: r for r in neardup.read_groups(spark.createDataFrame(rows, "read_id bigint, seq string")).collect()}
     pairs = plain_pairs(rows)
