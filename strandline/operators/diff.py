@@ -7,6 +7,7 @@ fields differ in all (a minimum-cost assignment); rows without a partner are mis
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.session import col, cut_lineage
+from strandline.session import col
 
-#: Rows of a key, on either side, that are paired by one assignment (its cost grows with the cube).
+#: Rows of a key, on either side, that are paired by a dense assignment; beyond it a flow through blocks may be cheaper.
 MOST_ASSIGNED = 128
 
 MISSING_LEFT, MISSING_RIGHT, DIFFERS = "missing_left", "missing_right", "differs"
@@ -55,6 +56,132 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(x: np.ndarray, y: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
+    """(fields that differ at most, rows of x, rows of y) of each set of fields and values that rows of both have.
+
+    A block with the same rows as one of more fields is left out.
+    """
+    n, width = len(x), x.shape[1]
+    out, seen = [], set()
+    for fields in (s for size in range(width, -1, -1) for s in combinations(range(width), size)):
+        groups: dict[tuple, tuple[list[int], list[int]]] = {}
+        for i, values in enumerate(map(tuple, np.concatenate([x, y])[:, list(fields)].tolist())):
+            groups.setdefault(values, ([], []))[i >= n].append(i if i < n else i - n)
+        for a, b in groups.values():
+            rows = (tuple(a), tuple(b))
+            if a and b and rows not in seen:
+                seen.add(rows)
+                out.append((width - len(fields), a, b))
+    return out
+
+
+def assign_copies(x: np.ndarray, nx: Sequence[int], y: np.ndarray, ny: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(row of x, row of y, copies) of an assignment in which the fewest fields differ; as many as the smaller side has.
+
+    Rows are of whole numbers, nx and ny say how often each occurs.  Copies flow from rows of x through the blocks that
+    they share with rows of y, so that the network grows with the rows and not with the pairs.  Least distances and
+    maximum flows at that distance alternate; no distance exceeds the number of fields.
+    """
+    blocks = _blocks(x, y)
+    n, m = len(x), len(y)
+    block_at, right_at, sink = n, n + len(blocks), n + len(blocks) + m
+    ahead: list[list[tuple[int, int]]] = [[] for _ in range(sink)]
+    for k, (cost, a, b) in enumerate(blocks):
+        for i in a:
+            ahead[i].append((block_at + k, cost))
+        ahead[block_at + k] = [(right_at + j, 0) for j in b]
+    back: list[dict[int, list[int]]] = [{} for _ in range(sink)]  # node: {node before it: [copies that flow, cost]}
+    left, room = list(map(int, nx)), list(map(int, ny))
+    todo, price = min(sum(left), sum(room)), [0] * (sink + 1)
+
+    def arcs(u: int):
+        """(next node, cost, whether it takes flow back)."""
+        for v, cost in ahead[u]:
+            yield v, cost, False
+        for v, (_, cost) in back[u].items():
+            yield v, -cost, True
+        if u >= right_at and room[u - right_at]:
+            yield sink, 0, False
+
+    while todo:
+        far = len(x[0]) * 4 + 4
+        reach = [far] * (sink + 1)
+        queue: dict[int, list[int]] = {0: [i for i in range(n) if left[i]]}
+        for i in queue[0]:
+            reach[i] = 0
+        while queue:
+            d = min(queue)
+            for u in queue.pop(d):
+                if reach[u] < d or u == sink:
+                    continue
+                for v, cost, _ in arcs(u):
+                    e = d + cost + price[u] - price[v]
+                    if e < reach[v]:
+                        reach[v] = e
+                        queue.setdefault(e, []).append(v)
+        price = [p + min(r, reach[sink]) for p, r in zip(price, reach, strict=True)]
+        while todo:
+            level = dict.fromkeys((i for i in range(n) if left[i]), 0)
+            layer = list(level)
+            while layer and sink not in level:
+                following = []
+                for u in layer:
+                    for v, cost, _ in arcs(u):
+                        if v not in level and cost + price[u] == price[v]:
+                            level[v] = level[u] + 1
+                            following.append(v)
+                layer = following
+            if sink not in level:
+                break
+            tries: dict[int, list[tuple[int, int, bool]]] = {}
+            for root in [i for i in range(n) if left[i]]:
+                path: list[tuple[int, int, int, bool]] = []
+                u = root
+                while left[root] and todo:
+                    if u == sink:
+                        amount = min([left[root], room[path[-1][0] - right_at], todo] + [back[a][b][0] for a, b, _, reverse in path if reverse])
+                        for a, b, cost, reverse in path[:-1]:
+                            if reverse:
+                                back[a][b][0] -= amount
+                                if not back[a][b][0]:
+                                    del back[a][b]
+                            else:
+                                back[b].setdefault(a, [0, cost])[0] += amount
+                        room[path[-1][0] - right_at] -= amount
+                        left[root] -= amount
+                        todo -= amount
+                        path, u = [], root
+                        continue
+                    if u not in tries:
+                        tries[u] = [(v, c, r) for v, c, r in arcs(u) if level.get(v) == level[u] + 1 and c + price[u] == price[v]]
+                    while tries[u]:
+                        v, cost, reverse = tries[u][-1]
+                        if (v in back[u]) if reverse else (v != sink or room[u - right_at]):
+                            break
+                        tries[u].pop()
+                    if tries[u]:
+                        path.append((u, *tries[u][-1]))
+                        u = path[-1][1]
+                    elif path:
+                        u = path.pop()[0]
+                        tries[u].pop()
+                    else:
+                        break
+    pairs = []
+    for k, (_, _, b) in enumerate(blocks):
+        sent = [[i, flow] for i, (flow, _) in back[block_at + k].items()]
+        for j in b:
+            need = back[right_at + j].get(block_at + k, [0])[0]
+            while need:
+                amount = min(need, sent[-1][1])
+                pairs.append((sent[-1][0], j, amount))
+                need -= amount
+                sent[-1][1] -= amount
+                if not sent[-1][1]:
+                    sent.pop()
+    return pairs
+
+
 def _fields(prefix: str, fields: Sequence[str]) -> list[Column]:
     return [F.col(f"{prefix}.f{i}").alias(name) for i, name in enumerate(fields)]
 
@@ -74,46 +201,58 @@ def _report(pairs: DataFrame, keys: int, fields: Sequence[str]) -> DataFrame:
     return pairs.select(*[f"k{i}" for i in range(keys)], F.col("n"), F.inline(found))
 
 
-def _assignment(fields: int, names: list[str], width: int):
-    """Pairs the rows (side, n, f0..) of one group; returns rows (k.., l0.., r0.., has_l, has_r, n)."""
+def _assignment(fields: int, names: list[str], most: int):
+    """Pairs the rows (side, n, f0..) of one key; returns rows (k.., l0.., r0.., has_l, has_r, n)."""
 
     def pair(group: pd.DataFrame) -> pd.DataFrame:
         values = [f"f{i}" for i in range(fields)]
-        copies = group.loc[group.index.repeat(group["n"].astype(int))]
-        left, right = (copies[copies["side"] == s] for s in (0, 1))
+        left, right = (group[group["side"] == s] for s in (0, 1))
         a, b = left[values].to_numpy(dtype=object), right[values].to_numpy(dtype=object)
-        swapped = len(a) > len(b)
-        x, y = (b, a) if swapped else (a, b)
-        cost = np.zeros((len(x), len(y)))
-        for i in range(fields):
-            cost += _unequal(x[:, i], y[:, i])
-        to = assign(cost) if len(x) else np.zeros(0, dtype=int)
-        rows = []
+        na, nb = left["n"].to_numpy(dtype=np.int64), right["n"].to_numpy(dtype=np.int64)
+        if max(na.sum(), nb.sum()) > most and (len(a) + len(b)) << fields < na.sum() * nb.sum():
+            codes = [pd.factorize(np.concatenate([a[:, i], b[:, i]]), use_na_sentinel=True)[0] for i in range(fields)]
+            table = np.stack(codes, axis=1)
+            pairs = assign_copies(table[: len(a)], na, table[len(a) :], nb)
+        else:
+            pairs = _assign_each(a, na, b, nb)
+        rows, none = [], [None] * fields
         head = group.iloc[0][names].tolist()
-        for i, j in enumerate(to):
-            p, q = (y[j], x[i]) if swapped else (x[i], y[j])
-            rows.append([*head, *p, *q, True, True, 1])
-        for j in sorted(set(range(len(y))) - set(to.tolist())):
-            none = [None] * fields
-            rows.append([*head, *(y[j] if swapped else none), *(none if swapped else y[j]), swapped, not swapped, 1])
+        for i, j, n in pairs:
+            rows.append([*head, *a[i], *b[j], True, True, n])
+            na[i] -= n
+            nb[j] -= n
+        rows += [[*head, *a[i], *none, True, False, na[i]] for i in np.flatnonzero(na)]
+        rows += [[*head, *none, *b[j], False, True, nb[j]] for j in np.flatnonzero(nb)]
         return pd.DataFrame(rows, columns=[*names, *[f"l{i}" for i in range(fields)], *[f"r{i}" for i in range(fields)], "has_l", "has_r", "n"], dtype=object).astype({"has_l": bool, "has_r": bool, "n": "int64"})
 
     return pair
 
 
+def _assign_each(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row of a, row of b, 1) of a dense assignment of single copies."""
+    swapped = na.sum() > nb.sum()
+    i, j = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    x, y = (b[j], a[i]) if swapped else (a[i], b[j])
+    cost = np.zeros((len(x), len(y)), dtype=np.uint16)
+    for f in range(a.shape[1]):
+        cost += _unequal(x[:, f], y[:, f])
+    to = assign(cost) if len(x) else np.zeros(0, dtype=int)
+    return [(int(i[q]), int(j[p]), 1) if swapped else (int(i[p]), int(j[q]), 1) for p, q in enumerate(to)]
+
+
 def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     codes, _ = pd.factorize(np.concatenate([x, y]), use_na_sentinel=True)
     return codes[: len(x), None] != codes[None, len(x) :]
 
 
-def _paired(groups: DataFrame, keys: list[str], by: list[str], fields: int, kinds: dict[str, T.DataType]) -> DataFrame:
-    """Solves groups of rows (keys, side, n, f..) named by ``by``, each of a bounded size."""
+def _paired(groups: DataFrame, keys: list[str], fields: int, kinds: dict[str, T.DataType], most: int) -> DataFrame:
+    """Solves the rows (keys, side, n, f..) of each key; its rows that differ are held by one worker."""
     schema = T.StructType(
         [T.StructField(k, kinds[k]) for k in keys]
         + [T.StructField(f"{s}{i}", T.StringType()) for s in "lr" for i in range(fields)]
         + [T.StructField("has_l", T.BooleanType()), T.StructField("has_r", T.BooleanType()), T.StructField("n", T.LongType())]
     )
-    out = groups.groupBy(*by).applyInPandas(_assignment(fields, keys, len(by)), schema)
+    out = groups.groupBy(*keys).applyInPandas(_assignment(fields, keys, most), schema)
 
     def side(s: str) -> Column:
         return F.when(F.col(f"has_{s}"), F.struct(*[F.col(f"{s}{i}").alias(f"f{i}") for i in range(fields)])).alias(s)
@@ -128,10 +267,9 @@ def differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     null for missing rows), n (copies).  Null keys are equal to each other, and so are null values; null and a value
     differ.  Other columns are ignored, whatever their names.  Two empty tables give no rows.
 
-    Identical rows are combined before the shuffle and hashed by all their columns, so a hot key is spread.  A key
-    with more than ``most`` unmatched copies on a side isn't assigned as a whole: its rows are assigned within
-    blocks that agree in all fields but one, then within blocks that agree in one field; rows that are in no
-    block of bounded size are reported missing on both sides.  Nothing is dropped.
+    Identical rows are combined before the shuffle and hashed by all their columns, so a hot key is spread.  What is
+    left of a key is assigned at least cost as a whole, whatever its size: up to ``most`` unmatched copies on a side
+    densely, beyond that by flows through blocks of rows that agree in some fields, if these are fewer than the pairs.
     """
     k, f = [f"k{i}" for i in range(len(keys))], [f"f{i}" for i in range(len(fields))]
 
@@ -163,44 +301,12 @@ def differences(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     lonely = held.where((F.col("nl") == 0) | (F.col("nr") == 0))
     alone = lonely.select(*k, of(0, F.col("row")).alias("l"), of(1, F.col("row")).alias("r"), "n")
     matched = held.where((F.col("nl") > 0) & (F.col("nr") > 0))
-    fits = (F.col("nl") <= most) & (F.col("nr") <= most)
     flat = [*k, "side", "n", *[F.col(f"row.{x}").alias(x) for x in f]]
-    solved = direct.unionByName(alone).unionByName(_paired(matched.where(fits).select(*flat), k, k, len(f), kinds))
-    large = matched.where(~fits).select(*flat)
-    if not large.isEmpty():
-        for part in _in_blocks(cut_lineage(large), k, f, most, kinds):
-            solved = solved.unionByName(part)
+    solved = direct.unionByName(alone).unionByName(_paired(matched.select(*flat), k, len(f), kinds, most))
     report = _report(solved, len(k), fields)
     return report.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], "kind", "field_name", "left_value", "right_value", "n")
 
 
-def _in_blocks(rest: DataFrame, k: list[str], f: list[str], most: int, kinds: dict[str, T.DataType]) -> list[DataFrame]:
-    """Pairs the rows of large keys within blocks; the last part is what found no partner."""
-    parts = []
-    signatures = [[x for x in f if x != y] for y in f] + [[y] for y in f if len(f) > 2]
-    for agreed in signatures:
-        block = F.xxhash64(*k, *agreed)
-        tagged = rest.withColumn("block", block)
-        sizes = tagged.groupBy("block").agg(F.sum(F.when(F.col("side") == 0, F.col("n"))).alias("bl"), F.sum(F.when(F.col("side") == 1, F.col("n"))).alias("br"))
-        ready = sizes.where((F.col("bl") <= most) & (F.col("br") <= most)).select("block")
-        chosen = tagged.join(ready, "block")
-        pairs = cut_lineage(_paired(chosen.select(*k, "block", "side", "n", *f), k, [*k, "block"], len(f), kinds))
-        parts.append(pairs.where(F.col("l").isNotNull() & F.col("r").isNotNull()))
-
-        def back(side: str, number: int, pairs: DataFrame = pairs) -> DataFrame:
-            other = "r" if side == "l" else "l"
-            return pairs.where(F.col(other).isNull()).select(*k, F.lit(number).alias("side"), "n", *[F.col(f"{side}.{x}").alias(x) for x in f])
-
-        kept = tagged.join(ready, "block", "left_anti").select(*k, "side", "n", *f)
-        rest = kept.unionByName(back("l", 0)).unionByName(back("r", 1)).groupBy(*k, "side", *f).agg(F.sum("n").alias("n"))
-        rest = cut_lineage(rest.select(*k, "side", "n", *f))
-        if rest.isEmpty():
-            return parts
-    row = F.struct(*f)
-    parts.append(rest.select(*k, F.when(F.col("side") == 0, row).alias("l"), F.when(F.col("side") == 1, row).alias("r"), "n"))
-    return parts
-
-
 # Checksums of one set of files in two formats
 
 SUMS = ["sum_pos", "sum_flags", "sum_name", "sum_seq", "sum_cigar", "sum_qual"]

@@ -40,6 +40,33 @@ def test_large_groups_lose_no_row(spark):
     assert found(spark, left, right, most=4) == [("1", "differs", "c", 1)] * 30 + [("1", "missing_left", "", 1), ("2", "missing_right", "", 1)]
 
 
+def test_large_keys_are_paired_at_least_cost(spark):
+    rng = random.Random(3)
+    draw = lambda n: [("1", *(rng.choice("pqrstu") for _ in range(3))) for _ in range(n)]
+    left, right = draw(220), draw(200)
+    dense = found(spark, left, right, most=1000)
+    cost = lambda rows: sum(n for _, kind, _, n in rows if kind == "differs")
+    gone = lambda rows: sum(n for _, kind, _, n in rows if kind == "missing_right") - sum(n for _, kind, _, n in rows if kind == "missing_left")
+    flowing = found(spark, left, right, most=4)
+    assert (cost(flowing), gone(flowing)) == (cost(dense), 20)
+    assert not [x for x in flowing if x[1] == "missing_left"]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_flows_are_optimal(seed):
+    rng = np.random.default_rng(seed)
+    x, y = (np.unique(rng.integers(-1, 4, (int(rng.integers(1, 40)), 4)), axis=0) for _ in range(2))
+    nx, ny = (rng.integers(1, 4, len(t)) for t in (x, y))
+    pairs = diff.assign_copies(x, nx, y, ny)
+    one, two = (np.bincount([p[s] for p in pairs], [p[2] for p in pairs], len(t)) for s, t in ((0, x), (1, y)))
+    assert (one <= nx).all() and (two <= ny).all() and sum(p[2] for p in pairs) == min(nx.sum(), ny.sum())
+    a, b = np.repeat(x, nx, axis=0), np.repeat(y, ny, axis=0)
+    if len(a) > len(b):
+        a, b = b, a
+    cost = (a[:, None] != b[None]).sum(axis=2).astype(float)
+    assert sum(n * int((x[i] != y[j]).sum()) for i, j, n in pairs) == cost[range(len(a)), diff.assign(cost)].sum()
+
+
 def test_clashing_names_and_empty_tables(spark):
     left = spark.createDataFrame([("1", "x", 1)], "k string, a string, net int").selectExpr("*", "0 as side", "'e' as row")
     right = spark.createDataFrame([("1", "z", 9)], "k string, a string, kind int")
