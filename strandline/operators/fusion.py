@@ -142,6 +142,21 @@ def gene_count_histogram(spans: DataFrame, last: int = 4) -> DataFrame:
 # Filters of candidates: rows (candidate, gene1, gene2, span1, span2, umi, r1, r2)
 
 
+def covered(start: Column, limit: Column) -> Column:
+    """The bases of r1 and r2 from start to limit, positions in r2 from R2_OFFSET."""
+    in_r1, in_r2 = start < R2_OFFSET, limit >= R2_OFFSET
+    first = F.substring(F.col("r1"), (start + 1).cast("int"), F.when(in_r2, F.length("r1")).otherwise(limit - start).cast("int"))
+    begin = F.when(in_r1, 0).otherwise(start - R2_OFFSET)
+    second = F.substring(F.col("r2"), (begin + 1).cast("int"), (limit - R2_OFFSET - begin).cast("int"))
+    return F.concat(F.when(in_r1, first).otherwise(""), F.when(in_r2, second).otherwise(""))
+
+
+def without_low_complexity(candidates: DataFrame, fraction: float = 0.9) -> DataFrame:
+    """Drops pairs one of whose genes is linked by bases of low complexity; start1, limit1, start2, limit2 say where."""
+    low = [seqs.is_low_complexity(covered(F.col(f"start{i}"), F.col(f"limit{i}")), fraction) for i in (1, 2)]
+    return candidates.where(~(low[0] | low[1]))
+
+
 def without_neighbours(candidates: DataFrame, genes: DataFrame, distance: int, places: int) -> DataFrame:
     """Drops pairs of genes (gene, chrom, start, limit, place) on one chromosome that lie within ``places`` ranks
     of each other or within ``distance`` bases (0 turns either off)."""

@@ -126,3 +126,19 @@ def test_streams_give_what_batches_give(spark, tmp_path):
         assert stream.exceptAll(operator(batch)).isEmpty()
     once = events.replay(spark, path, lambda e: events.first_of_each(e, "ts", ["value"], "30 days"))
     assert once.count() == 7
+
+
+def test_low_complexity_links_are_dropped(spark):
+    r2 = fusion.R2_OFFSET
+    rows = [
+        (1, 0, 4, r2, r2 + 4, "ACGT", "ACGT"),
+        (2, 0, 4, r2, r2 + 4, "AAAC", "ACGT"),
+        (3, 0, 4, r2, r2 + 4, "ACGT", "GGGC"),
+        (4, 2, r2 + 2, 0, 4, "ACGT", "ACGT"),
+        (5, 2, r2 + 2, 0, 4, "ACAA", "CCGT"),
+        (6, 1, 1, 0, 4, "ACGT", "ACGT"),
+    ]
+    df = spark.createDataFrame(rows, "candidate int, start1 bigint, limit1 bigint, start2 bigint, limit2 bigint, r1 string, r2 string")
+    assert sorted(r.candidate for r in fusion.without_low_complexity(df).collect()) == [1, 4]
+    got = spark.createDataFrame([("AAAC", "CGGT")], "r1 string, r2 string").select(*[fusion.covered(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")) for a, b in ((0, 3), (0, r2 + 1), (r2, r2 + 3))]).first()
+    assert tuple(got) == ("AAA", "AAACC", "CGG")
