@@ -247,6 +247,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, group): the least id that each id of the edges (a, b) is connected with.
 
     Alternates linking of larger neighbours and of all neighbours to the least one; every round is checkpointed.
+    Groups that still change in the last round are an error.
     """
     now = cut_lineage(edges.select("a", "b").distinct())
     for _ in range(rounds):
@@ -260,6 +261,8 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if after.count() == now.count() and after.exceptAll(now).isEmpty():
             break
         now = after
+    else:
+        raise RuntimeError(f"groups still changed after {rounds} rounds")
     return now.groupBy("b").agg(F.min("a").alias("group")).withColumnRenamed("b", "id")
 
 

@@ -97,6 +97,13 @@ def test_groups(spark, rows):
     assert set(got) == {i for i, s in rows if i is not None and s and grams(s.upper())}
 
 
+def test_unfinished_groups_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint")
+    assert {(r.id, r.group) for r in neardup.connected(path).collect()} >= {(i, 0) for i in range(1, 21)}
+    with pytest.raises(RuntimeError):
+        neardup.connected(path, rounds=1)
+
+
 def test_no_reads(spark):
     none = spark.createDataFrame([], "read_id bigint, seq string")
     assert neardup.similar_reads(none).count() == 0 and neardup.read_groups(none).count() == 0
