@@ -40,8 +40,8 @@ def aligned_bases(reads: DataFrame, regions: DataFrame, options: PileupOptions)
     """A row for each aligned base within the regions: read_id, read_name, ref, pos, base, quality, strand, offset, length.
 
     ``reads`` has read_id, read_name, ref, ref_id, mate_ref_id, pos, mapq, cigar, flags, seq, qual.  Reads with an
-    excluded flag, a lower mapq, no CIGAR or one with operations other than M, I, D, N, S, H, no sequence, or with
-    a length or span above the limits are left out; so are bases whose strand is wanted and unknown.
+    excluded flag, a lower mapq, no CIGAR or one with operations other than M, I, D, N, S, H, or no sequence are left
+    out; so are bases whose strand is wanted and unknown.  A read of a length or span above the limits is an error.
     """
     kept = reads.where(
         ~align.has_flag(F.col("flags"), options.flag_exclude)
@@ -51,12 +51,14 @@ def aligned_bases(reads: DataFrame, regions: DataFrame, options: PileupOptions)
         & (F.col("pos") >= 0)
         & ~F.col("cigar").isin("*", "")
         & (F.col("seq") != "*")
-        & (F.length("seq") <= options.max_read_length)
     )
     strand = align.pair_strand(F.col("flags"), F.col("ref_id"), F.col("mate_ref_id"))
     quals = seqs.clip_qualities(F.col("qual"), options.clip) if options.clip else F.col("qual")
     rows = kept.select("read_id", "read_name", "ref", "flags", F.upper("seq").alias("seq"), quals.alias("qual"), strand.alias("strand"), align.aligned_blocks(F.col("pos"), F.col("cigar")).alias("blocks"), align.reference_span(F.col("cigar")).alias("span"))
-    rows = rows.where((F.col("span") <= options.max_read_span) & F.col("blocks").isNotNull())
+    long, wide = F.length("seq") > options.max_read_length, F.col("span") > options.max_read_span
+    limits = f" is longer than {options.max_read_length} bases or spans more than {options.max_read_span}"
+    error = F.raise_error(F.concat(F.lit("read "), F.coalesce("read_name", F.lit("null")), F.lit(limits)))
+    rows = rows.where(F.when(long | wide, error.cast("boolean")).otherwise(F.col("blocks").isNotNull()))
     if options.strands:
         rows = rows.where(F.col("strand") != align.STRAND_NONE)
     blocks = rows.select("read_id", "read_name", "ref", "flags", "seq", "qual", "strand", F.inline("blocks")).select(

@@ -125,6 +125,13 @@ def test_pileup_leaves_out(spark, reads):
         pileup.PileupOptions(clip=-1).check()
 
 
+@pytest.mark.parametrize("bases,cigar", [(501, "501M"), (2, "1M510N1M")])
+def test_pileup_of_too_long_reads_is_an_error(spark, reads, bases, cigar):
+    df = reads([read(1, "far", 100000, cigar, 1 | 32 | 64, "A" * bases, [43] * bases)])
+    with pytest.raises(Exception, match="read far is longer than 500 bases or spans more than 511"):
+        pileup.pileup(df, regions(spark)).collect()
+
+
 def test_pairs_and_order(reads):
     df = reads(
         [
