@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,7 +130,7 @@ def _extension(schema: T.StructType, span: int, gram: int):
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[str, np.ndarray] = {}
-        last: tuple[object, str | None, np.ndarray] = (None, None, np.zeros(0, dtype=np.uint64))
+        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
         for part in parts:
             docs, texts, item_ids, item_texts = (part.column(i) for i in range(4))
             doc_at, item_at = part.column(4).to_pylist(), part.column(5).to_pylist()
@@ -139,16 +139,16 @@ def _extension(schema: T.StructType, span: int, gram: int):
             for i in range(part.num_rows):
                 if (doc_list[i], item_list[i]) in seen:
                     continue
-                text = texts[i].as_py() if (doc_list[i] != last[0] or last[0] is None) else last[1]
-                if text is not last[1]:
-                    last = (doc_list[i], text, words_of([text])[0])
+                text = texts[i].as_py()
+                if text != last[0]:
+                    last = (text, words_of([text])[0])
                 passage = item_texts[i].as_py()
                 if passage not in items:
                     if len(items) > 10_000:
                         items.clear()
                     items[passage] = words_of([passage])[0]
                 own = items[passage]
-                if _extend(last[2], own, doc_at[i], item_at[i], span) >= min(span, len(own)):
+                if _extend(last[1], own, doc_at[i], item_at[i], span) >= min(span, len(own)):
                     seen.add((doc_list[i], item_list[i]))
                     keep.append(i)
             take = pa.array(np.array(keep, dtype=np.int64))
@@ -157,18 +157,23 @@ def _extension(schema: T.StructType, span: int, gram: int):
     return batches
 
 
+def _digest(text: str) -> Column:
+    return F.sha2(text, 256).substr(1, 32)
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, item_id) of each document that holds ``span`` words in a row of an item, or all of a shorter item.
 
     Null texts and texts without words are in no pair.  Repeated ids give one row.  Other columns of either table
     aren't read.  The documents' texts are scanned once and not shuffled while the items' fingerprints can be
     broadcast (their number is counted first); beyond that the fingerprints are joined by a shuffle and the few
-    hits meet their texts again by id.  Hits agree in 64-bit hashes of words, so a false pair has a chance of
+    hits meet their texts again by digest.  Null ids are ids of their own in both ways.  Hits agree in 64-bit hashes of words, so a false pair has a chance of
     some 2^-60.
     """
     docs = documents.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text")).where(F.col("text") != "")
     tests = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{text}`").alias("passage")).where(F.col("passage").isNotNull())
-    prints = item_fingerprints(items, item_id, text, span, gram)
+    tests = tests.withColumn("key", _digest("passage"))
+    prints = item_fingerprints(tests.select("key", "passage").distinct(), "key", "passage", span, gram)
     sizes = prints.groupBy(F.when(F.col("words") < span, F.col("words")).alias("n")).agg(F.count(F.lit(1)).alias("prints")).collect()
     lengths = sorted(row["n"] for row in sizes if row["n"])
     total, shorts = sum(row["prints"] for row in sizes), sum(row["prints"] for row in sizes if row["n"])
@@ -180,11 +185,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     schema = T.StructType([T.StructField(doc_id, docs.schema["doc"].dataType), T.StructField(item_id, tests.schema["item"].dataType)])
     small = total <= BROADCAST_FINGERPRINTS
     texts = tests.dropDuplicates(["item", "passage"])
-    found = docs.select("doc", *(["text"] if small else []), F.inline(prints_of("text")).alias("print", "at")) if small else docs.select("doc", F.inline(prints_of("text")).alias("print", "at"))
-    target = prints.select("item", "print", F.col("at").alias("item_at")).distinct()
+    found = docs.select("doc", *(["text"] if small else []), F.inline(prints_of("text")).alias("print", "at")) if small else docs.select(_digest("text").alias("text_key"), F.inline(prints_of("text")).alias("print", "at"))
+    target = prints.select(F.col("item").alias("key"), "print", F.col("at").alias("item_at")).distinct()
     if small:
-        hits = found.join(F.broadcast(target), "print").join(F.broadcast(texts), "item")
+        hits = found.join(F.broadcast(target), "print").join(F.broadcast(texts), "key")
     else:
-        hits = found.join(target, "print").join(texts, "item").join(docs, "doc")
+        hits = found.join(target, "print").distinct().join(texts, "key").join(docs.withColumn("text_key", _digest("text")), "text_key")
     rows = hits.select("doc", "text", "item", "passage", F.col("at").alias("doc_at"), "item_at").mapInArrow(_extension(schema, span, gram), schema)
     return rows.distinct()

@@ -100,6 +100,18 @@ def test_leaks_match_all_pairs(spark, corpus, monkeypatch, bound):
     assert set(found) == plain_leaks(docs, items)
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_leaks_of_null_and_repeated_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(leakage, "BROADCAST_FINGERPRINTS", bound)
+    monkeypatch.setattr(leakage, "SHORT_IN_SCAN", bound)
+    one, two, three = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = [(None, f"x {one}"), (5, f"y {two}"), (5, f"u v w {three}"), (6, "none")]
+    items = [(None, one), (1, one), (2, two), (2, "z " * 3 + three)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    found = [tuple(r) for r in leakage.leaks(d, spark.createDataFrame(items, "item_id int, text string")).collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_leaks(docs, items)
+
+
 def test_leaks_of_empty_tables(spark, corpus):
     docs, items = corpus
     none_d, none_i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "item_id int, text string")
