@@ -8,6 +8,7 @@ of fields.  Lines of cost 0 whose fields have valid types are loaded; of the oth
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,11 +31,11 @@ NEXT = np.array(
     ],
     dtype=np.uint8,
 )
+#: What leads from a state to the next in the cheapest parse.
+READ, DELETE, INSERT_QUOTE, INSERT_DELIMITER = range(4)
 #: Cells of a block of lines that are read together; longer lines are read by themselves.
 CELLS = 1 << 22
 LONG = 1 << 15
-#: Lines with more quotes and delimiters than this report their cost but no list of edits.
-MOST_MARKS = 5_000
 
 _TOKENS = re.compile(r'"|,|[^",]+', re.S)
 
@@ -99,31 +100,43 @@ def cheapest_edits(line: str, fields: int) -> tuple[int, list[str]]:
     Returns the cost and the edits, in order, such as ``delete quote at 7`` or ``insert delimiter at 31`` (characters
     from 0).  An edit of a quote is preferred to one of a delimiter at the same cost.
     """
-    tokens = _tokens(line)
+    kinds, places = bytearray(), array("q")
+    for m in _TOKENS.finditer(line):
+        kinds.append(QUOTE if m[0] == '"' else DELIMITER if m[0] == "," else OTHER)
+        places.append(m.start())
     states = [(f, s) for f in range(fields) for s in (START, PLAIN, QUOTED, CLOSED)]
+    number = {x: i for i, x in enumerate(states)}
     far = 1 << 30
+    trail = array("I")  # by step and state: 0, or 1 + 4 * the state before + what was done
 
-    def insertions(cost: dict, back: dict, at: int) -> None:
+    def keep(back: dict) -> None:
+        row = [0] * len(states)
+        for y, (x, done) in back.items():
+            row[number[y]] = 1 + 4 * number[x] + done
+        trail.extend(row)
+
+    def insertions(cost: dict, back: dict) -> None:
         todo = sorted((c, x) for x, c in cost.items() if c < far)
         while todo:
             c, x = todo.pop(0)
             if c > cost[x]:
                 continue
             f, s = x
-            for kind, name in ((QUOTE, "quote"), (DELIMITER, "delimiter")):
+            for kind, done in ((QUOTE, INSERT_QUOTE), (DELIMITER, INSERT_DELIMITER)):
                 t = int(NEXT[s, kind])
                 if t == ERROR or (kind == DELIMITER and t != START):
                     continue
                 y = (f + (kind == DELIMITER), t)
                 if y[0] < fields and c + 1 < cost[y]:
-                    cost[y], back[y] = c + 1, (x, f"insert {name} at {at}", True)
+                    cost[y], back[y] = c + 1, (x, done)
                     todo.append((c + 1, y))
             todo.sort()
 
     cost = dict.fromkeys(states, far) | {(0, START): 0}
-    trail: list[dict] = [{}]
-    insertions(cost, trail[0], 0)
-    for kind, at in tokens:
+    back: dict = {}
+    insertions(cost, back)
+    keep(back)
+    for kind in kinds:
         after, back = dict.fromkeys(states, far), {}
         for x, c in cost.items():
             if c >= far:
@@ -133,24 +146,23 @@ def cheapest_edits(line: str, fields: int) -> tuple[int, list[str]]:
             if t != ERROR:
                 y = (f + (kind == DELIMITER and t == START), t)
                 if y[0] < fields and c < after[y]:
-                    after[y], back[y] = c, (x, None, False)
+                    after[y], back[y] = c, (x, READ)
             if kind != OTHER and c + 1 < after[x]:
-                after[x], back[x] = c + 1, (x, f"delete {'quote' if kind == QUOTE else 'delimiter'} at {at}", False)
+                after[x], back[x] = c + 1, (x, DELETE)
         cost = after
-        insertions(cost, back, at + 1 if kind != OTHER else -1)
-        trail.append(back)
+        insertions(cost, back)
+        keep(back)
     best = min(((fields - 1, s) for s in (START, PLAIN, CLOSED)), key=lambda x: cost[x])
     edits: list[str] = []
-    x, step = best, len(tokens)
-    ends = [at for _, at in tokens[1:]] + [len(line)]
-    while (step, x) != (0, (0, START)):
-        came = trail[step].get(x)
-        if came is None:
-            break
-        before, edit, same = came
-        if edit:
-            edits.append(edit.replace("at -1", f"at {ends[step - 1]}"))
-        x, step = before, step if same else step - 1
+    x, step = number[best], len(kinds)
+    while came := trail[step * len(states) + x]:
+        before, done = divmod(came - 1, 4)
+        if done == DELETE:
+            edits.append(f"delete {'quote' if kinds[step - 1] == QUOTE else 'delimiter'} at {places[step - 1]}")
+        elif done != READ:
+            at = 0 if not step else places[step] if step < len(places) else len(line)
+            edits.append(f"insert {'quote' if done == INSERT_QUOTE else 'delimiter'} at {at}")
+        x, step = before, step if done in (INSERT_QUOTE, INSERT_DELIMITER) else step - 1
     return cost[best], edits[::-1]
 
 
@@ -200,8 +212,7 @@ def _parse(lines: list[str | None], want_edits: bool) -> dict[str, list]:
         if reason is None or out["edit_cost"][i] == 0:
             out["edits"][i] = []
         elif want_edits:
-            marks = text.count('"') + text.count(",")
-            out["edit_cost"][i], out["edits"][i] = cheapest_edits(text, 4) if marks <= MOST_MARKS else (None, None)
+            out["edit_cost"][i], out["edits"][i] = cheapest_edits(text, 4)
         out["reason"][i] = reason
     return out
 
@@ -229,7 +240,7 @@ def parse_reads(lines: DataFrame, key: str = "raw_id", line: str = "raw_line", e
     A good line has a null reason and its four fields; one that fails has null fields and the first reason that
     holds of: quoting, columns, id, unk, qual.  Null and empty lines fail for columns.  One carriage return at the
     end isn't part of a line.  Repeated lines and keys stay as they are.  One pass, no shuffle; the edits are worked
-    out for failing lines only (null in lines of more than MOST_MARKS quotes and delimiters).
+    out for failing lines only.
     """
     schema = T.StructType([T.StructField("key", lines.schema[key].dataType), *PARSED.fields])
     parsed = lines.select(F.col(f"`{key}`").alias("key"), F.col(f"`{line}`").alias("line")).mapInArrow(_parser(edits), schema)

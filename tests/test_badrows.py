@@ -66,5 +66,12 @@ def test_edits_are_the_cheapest(seed):
     assert len(edits) == cost
 
 
+def test_lines_of_many_marks_have_edits_too(spark):
+    df = spark.createDataFrame([(1, "@a" + "," * 6000), (2, "@a,A,+," + "a\"" * 5001)], "raw_id bigint, raw_line string")
+    got = {r.raw_id: r for r in badrows.parse_reads(df).collect()}
+    assert (got[1].edit_cost, len(got[1].edits)) == (2, 2)
+    assert got[2].edit_cost == len(got[2].edits) > 0
+
+
 def test_empty_table(spark):
     assert badrows.parse_reads(spark.createDataFrame([], "raw_id bigint, raw_line string")).count() == 0
