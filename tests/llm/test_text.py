@@ -146,12 +146,53 @@ def test_quality_of_odd_texts(spark):
     assert quality.not_prose(df.limit(0), common).count() == 0
 
 
-def test_classifier_is_calibrated(spark):
-    sf = "/root/testdata/sf0.001"
-    scored = quality.scored_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/common_words.parquet"))
-    rows = scored.where("n_words > 0").select("signs", "p_junk").collect()
-    assert all(r.p_junk > 0.5 for r in rows if r.signs >= 2)
-    assert all(r.p_junk < 0.5 for r in rows if r.signs == 0)
+def sf_tables(spark, sf="0.01"):
+    return [spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "common_words")]
+
+
+def test_holdout_is_of_the_documents_named(spark):
+    stats = {r.doc_id: r for r in quality.statistics(*sf_tables(spark)).collect()}
+    assert len(quality.HOLDOUT) == 46 and len(quality.MEASURED) == 45
+    for doc_id, *numbers, _ in quality.HOLDOUT + quality.MEASURED:
+        assert [stats[doc_id][c] for c in quality.FEATURES] == pytest.approx(numbers, abs=0.001)
+    assert not {r[0] for r in quality.HOLDOUT} & {r[0] for r in quality.MEASURED}
+
+
+def test_classifier_on_documents_kept_out(spark):
+    documents, common = sf_tables(spark)
+    kept_out = [r[0] for r in quality.MEASURED + quality.HOLDOUT]
+    stats = quality.statistics(documents.where(~documents.doc_id.isin(kept_out)), common)
+    model = quality.ProseClassifier.train(stats)
+    measured = np.array(quality.MEASURED, dtype=float)
+    p, junk = model.probabilities(measured[:, 1:-1]), measured[:, -1] == 1
+    assert ((p > 0.5) == junk).mean() >= 0.95
+    assert np.mean((p - junk) ** 2) < 0.05
+
+
+def test_expressions_score_as_the_trees(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 5)) * [500, 10, 1, 1, 1]
+    model = quality.ProseClassifier.fit(x, (x[:, 2] + 0.2 * rng.random(400) > 0.6).astype(float))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], quality.FEATURES)
+    assert [r.p_junk for r in model.score(df).collect()] == pytest.approx(list(model.probabilities(x)))
+
+
+def test_no_document_with_two_signs_is_ruled_out(spark):
+    prose = "The cat of the house sat on the mat near the door. " * 5
+    junk = "zq1 xv2 kj3 wq4\n" * 500
+    rows = [(i, prose) for i in range(40)] + [(40 + i, junk) for i in range(40)] + [(90, "zq1 kj3\nwq4")]
+    common = spark.createDataFrame([(w,) for w in ("the", "of", "on", "near")], "word string")
+    found = {r.doc_id for r in quality.not_prose(spark.createDataFrame(rows, "doc_id bigint, text string"), common).collect()}
+    assert found == {*range(40, 80), 90}
+
+
+def test_long_lists_of_common_words_are_joined(spark, monkeypatch):
+    texts = [*TEXTS, "the cat of the mat", "the cat of the mat", "dog the", None, ""]
+    df = spark.createDataFrame([(None if i % 3 else i % 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    common = spark.createDataFrame([("the",), ("of",), ("of",), (None,)], "word string")
+    want = sorted(map(repr, quality.statistics(df, common).collect()))
+    monkeypatch.setattr(quality, "MOST_COMMON_WORDS", 1)
+    assert sorted(map(repr, quality.statistics(df, common).collect())) == want
 
 
 def test_calibration_follows_the_labels():
