@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per read: its class of equal sequences, its group of similar ones, and its class's links."""
+    """One row per read: its class of equal sequences and its group of similar ones."""
     return neardup.read_groups(neardup.latest_reads(table(spark, sf_dir, "aligned_reads", ["read_id", "seq", "loaded_at"])))
 
 
@@ -98,6 +98,18 @@ SELECT DISTINCT x AS read_id_a, y AS read_id_b FROM shared JOIN sizes p ON p.rea
 WHERE 10 * c >= 4 * (p.n + q.n - c)
 """
 
+_P2_GROUPS = f"""
+WITH RECURSIVE pairs AS ({_P2_SHINGLES}),
+nodes AS (
+  SELECT read_id, least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS c
+  FROM (SELECT read_id, upper(seq) AS s, row_number() OVER (PARTITION BY read_id ORDER BY loaded_at DESC) AS k FROM aligned_reads)
+  WHERE k = 1 AND regexp_matches(s, '[ACGT]{{8}}')),
+links AS (SELECT read_id_a AS x, read_id_b AS y FROM pairs UNION ALL SELECT read_id_b, read_id_a FROM pairs),
+reach AS (SELECT read_id, read_id AS other FROM nodes UNION SELECT r.read_id, l.y FROM reach r JOIN links l ON r.other = l.x)
+SELECT read_id, min(n.read_id) OVER (PARTITION BY c) AS class_id, group_id
+FROM nodes n JOIN (SELECT read_id, min(other) AS group_id FROM reach GROUP BY read_id) g USING (read_id)
+"""
+
 _COUNTED = "SELECT least(forward_kmer, revcomp_kmer) AS kmer FROM kmers WHERE forward_kmer <> -1 AND revcomp_kmer <> -1"
 
 _P8 = r"""
@@ -135,6 +147,7 @@ stats AS (
 
 SQL: dict[str, str] = {
     "p2_found": _P2_SHINGLES,
+    "p2_groups": _P2_GROUPS,
     "p5_found": f"WITH c AS ({_COUNTED}) SELECT kmer FROM c GROUP BY kmer HAVING count(*) * {P5_ONE_IN} >= (SELECT count(*) FROM c)",
     "p5_top100": f"SELECT kmer, count(*) AS n FROM ({_COUNTED}) GROUP BY kmer ORDER BY n DESC, kmer LIMIT 100",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
