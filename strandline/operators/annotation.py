@@ -76,13 +76,26 @@ def gene_places(records: DataFrame) -> DataFrame:
     return genes.select("gene_id", "chrom", (F.row_number().over(W.partitionBy("chrom").orderBy("start", "gene_id")) - 1).cast("int").alias("place"))
 
 
-def genes_kept(names: DataFrame, column: str, keep_mitochondrial: bool = False, keep_read_through: bool = False, chrom: str = "chrom") -> DataFrame:
-    """Leaves out genes of chrM, of `_PAR_Y`, with a dot in the name, and read-through genes (`A-B`)."""
-    name = F.col(column)
-    through = name.rlike("^[^-]+-[^-]+$") & ~name.rlike("^(HLA|MT)-") & ~name.rlike("-[0-9]+$")
-    out = names.where(~name.rlike("_PAR_Y") & ~name.contains("."))
-    out = out if keep_read_through else out.where(~through)
-    return out if keep_mitochondrial else out.where(F.col(chrom) != "chrM")
+def genes_kept(
+    genes: DataFrame, gene_id: str = "gene_id", name: str = "gene_name", chrom: str = "chrom", keep_mitochondrial: bool = False, keep_read_through: bool = False, keep_par_y: bool = False, keep_versioned: bool = False
+) -> DataFrame:
+    """Leaves out genes of chrM, with `_PAR_Y` in the id, with a dot in the name, and read-through genes (`A-B...`).
+
+    A name with a hyphen isn't a read-through if it begins with HLA or MT or its second part is a number.  Null names,
+    ids and chromosomes stay.
+    """
+    parts = F.split(F.col(name), "-", -1)
+    through = (F.size(parts) > 1) & ~F.get(parts, F.lit(0)).isin("HLA", "MT") & ~F.get(parts, F.lit(1)).rlike("^[0-9]+$")
+    dropped = [
+        (keep_mitochondrial, F.col(chrom) == "chrM"),
+        (keep_par_y, F.col(gene_id).contains("_PAR_Y")),
+        (keep_versioned, F.col(name).contains(".")),
+        (keep_read_through, F.col(name).isNotNull() & through),
+    ]
+    for kept, condition in dropped:
+        if not kept:
+            genes = genes.where(~F.coalesce(condition, F.lit(False)))
+    return genes
 
 
 def spliced(exons: DataFrame, reference: DataFrame, chunk: int, keys: Sequence[str] = ("transcript_id",)) -> DataFrame:

@@ -73,7 +73,7 @@ def stitch_pair(r1: str | None, r2: str | None, k: int = 19, most_unequal: float
         return None
     shift, _ = found
     stop = shift + len(r2)
-    if shift < 0 and stop >= len(r1):
+    if shift <= 0 and stop >= len(r1) and (shift < 0 or stop > len(r1)):
         return r2[-shift:]
     return r1[:stop] if stop <= len(r1) else r1 + r2[len(r1) - shift :]
 
@@ -170,21 +170,6 @@ def without_neighbours(candidates: DataFrame, genes: DataFrame, distance: int, p
     return both.where(~F.coalesce(near, F.lit(False))).select(*candidates.columns)
 
 
-def _pair_key() -> Column:
-    return F.concat_ws("/", F.least("gene1", "gene2"), F.greatest("gene1", "gene2"))
-
-
-def well_supported(candidates: DataFrame, least_span: int = 25, least_support: int = 2) -> DataFrame:
-    """Candidates of gene pairs that at least ``least_support`` candidates span by ``least_span`` bases on both sides.
-
-    With UMIs the supports must differ in UMI.  Counts come from a partial aggregation and meet the rows by a join.
-    """
-    spans = (F.col("span1") >= least_span) & (F.col("span2") >= least_span)
-    keyed = candidates.withColumn("__pair", _pair_key())
-    support = keyed.where(spans).groupBy("__pair").agg(F.count_distinct(F.coalesce("umi", F.col("candidate").cast("string"))).alias("n")).where(F.col("n") >= least_support)
-    return keyed.where(spans).join(support.select("__pair"), "__pair", "left_semi").drop("__pair")
-
-
 def without_promiscuous(candidates: DataFrame, most_partners: int = 5) -> DataFrame:
     """Drops candidates one of whose genes has more than ``most_partners`` distinct partners."""
     both = candidates.select("gene1", "gene2").unionAll(candidates.select(F.col("gene2").alias("gene1"), F.col("gene1").alias("gene2"))).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import align
 from strandline.functions import seq as seqs
-from strandline.operators import alignments, annotation, badrows, diff, fusion, kmers, periods, pileup
+from strandline.operators import alignments, annotation, badrows, diff, fusion, fusion_calls, kmers, periods, pileup
 from strandline.operators import intervals as iv
 from strandline.plans import filterlang
 from strandline.plans.adapters import GTF_SQL, READS_SQL, REFERENCE_LENGTH, REFERENCES, gtf, reads
@@ -488,6 +488,130 @@ def agg10_gene_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.gene_count_histogram(fusion.gene_spans(_ranges(spark, sf_dir)))
 
 
+@query(_RANGES + """SELECT fragment, gene, start, CAST(sum("limit" - start) OVER w AS BIGINT) AS up_to, CAST(sum("limit" - start) OVER v AS BIGINT) AS from_here FROM ranges
+WINDOW w AS (PARTITION BY fragment, gene ORDER BY start ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY fragment, gene ORDER BY start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def win4_span_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_calls.span_sums(_ranges(spark, sf_dir)).select("fragment", "gene", "start", "up_to", "from_here")
+
+
+@query(
+    _RANGES
+    + """, g AS (SELECT fragment, gene, count(*) AS r, row_number() OVER (PARTITION BY fragment ORDER BY sum("limit" - start) DESC, gene) AS place FROM ranges GROUP BY fragment, gene),
+f AS (SELECT fragment, count(*) AS n, sum(r) AS rr, count(*) FILTER (place <= 5) AS kn, sum(r) FILTER (place <= 5) AS kr FROM g GROUP BY fragment)
+SELECT count(*) AS fragments, CAST(sum(n) AS BIGINT) AS raw_genes, CAST(sum(rr) AS BIGINT) AS raw_ranges, CAST(sum(kn) AS BIGINT) AS genes, CAST(sum(kr) AS BIGINT) AS ranges,
+  count(*) FILTER (n = 1) AS fragments_1, count(*) FILTER (n = 2) AS fragments_2, count(*) FILTER (n = 3) AS fragments_3, count(*) FILTER (n >= 4) AS fragments_4 FROM f"""
+)
+def agg10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_calls.fusion_stats(_ranges(spark, sf_dir))
+
+
+# For calls, a locus of the annotation is the fragment and its transcripts, which share and swap exons, are the "genes"
+
+_OPTIONS = fusion_calls.FusionOptions(kmer=23, most_gap=2_000, most_homology=400, least_span=10)
+_CALLS = (
+    _GTF
+    + f""", e AS (SELECT concat_ws(':', gene_id, chrom) AS fragment, transcript_id AS gene, CAST(range_start - 1 AS BIGINT) AS a, CAST(range_stop AS BIGINT) AS b FROM gtf WHERE feature = 'exon' AND range_start <= range_stop AND transcript_id IS NOT NULL),
+marked AS (SELECT *, max(b) OVER (PARTITION BY fragment, gene ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY fragment, gene ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+ranges AS (SELECT fragment, gene, min(a) AS start, max(b) AS "limit" FROM numbered GROUP BY fragment, gene, run),
+lengths AS (SELECT fragment, max(span) * 6 // 5 AS length1, 0 AS length2 FROM (SELECT fragment, sum("limit" - start) AS span FROM ranges GROUP BY fragment, gene) GROUP BY fragment),
+r AS (SELECT *, "limit" - start AS size, sum("limit" - start) OVER w AS mine, sum("limit" - start) OVER v AS rest, min(start) OVER p AS g_start, max("limit") OVER p AS g_limit FROM ranges
+  WINDOW w AS (PARTITION BY fragment, gene ORDER BY start ROWS UNBOUNDED PRECEDING), v AS (PARTITION BY fragment, gene ORDER BY start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), p AS (PARTITION BY fragment, gene)),
+g0 AS (SELECT fragment, gene, coalesce(sum(size) FILTER (start < 1000000000), 0) AS span1, coalesce(sum(size) FILTER (start >= 1000000000), 0) AS span2, sum(size) AS span FROM r GROUP BY fragment, gene),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY span DESC, gene) AS place FROM g0),
+g2 AS (SELECT g1.*, length1, length2, length1 + length2 AS total, count(*) OVER (PARTITION BY fragment) AS n_genes FROM g1 JOIN lengths USING (fragment) WHERE place <= 5),
+g AS (SELECT *, bool_or((n_genes > 1 AND span > total - 23) OR (span1 < greatest(23, length1 * 50 // 100) AND span2 < greatest(23, length2 * 50 // 100))) OVER (PARTITION BY fragment ORDER BY place) AS ended FROM g2),
+gp AS (SELECT a.fragment, a.gene AS ga, b.gene AS gb, a.place AS pa, b.place AS pb, a.span AS sa, b.span AS sb, a.total * (CASE WHEN least(a.span, b.span) >= 30 THEN 80 ELSE 90 END) // 100 AS need
+  FROM g a JOIN g b ON a.fragment = b.fragment AND a.place < b.place WHERE NOT a.ended AND a.span + b.span >= a.total * (CASE WHEN least(a.span, b.span) >= 30 THEN 80 ELSE 90 END) // 100),
+xs AS (SELECT p.fragment, ga, gb, s.side, r.start, r."limit", r.size, r.mine, r.g_start, CASE WHEN s.side = 0 THEN gb ELSE ga END AS other FROM gp p, (VALUES (0), (1)) s(side), r WHERE r.fragment = p.fragment AND r.gene = CASE WHEN s.side = 0 THEN ga ELSE gb END),
+met AS (SELECT x.*, y.start AS y_start, y."limit" AS y_limit, y.size AS y_size, y.rest AS y_rest, y.g_limit AS y_end FROM xs x JOIN r y ON y.fragment = x.fragment AND y.gene = x.other AND (y."limit" > x."limit" OR (x.side = 0 AND y."limit" = x."limit"))
+  QUALIFY row_number() OVER (PARTITION BY x.fragment, ga, gb, x.side, x.start ORDER BY y.start) = 1),
+kinds AS (SELECT *, CASE WHEN "limit" < y_start THEN 'gap' WHEN start > y_start THEN 'inside' ELSE 'over' END AS kind FROM met),
+shared AS (SELECT *, coalesce(sum(CASE kind WHEN 'inside' THEN size WHEN 'over' THEN "limit" - y_start ELSE 0 END) OVER (PARTITION BY fragment, ga, gb ORDER BY "limit", side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  CASE kind WHEN 'inside' THEN size WHEN 'over' THEN "limit" - y_start ELSE 0 END AS own FROM kinds),
+seen AS (SELECT *, CASE kind WHEN 'gap' THEN mine + y_rest WHEN 'over' THEN mine - size + y_limit - start + y_rest - y_size END AS joint, mine > y_rest OR (mine = y_rest AND side = 0) AS whole FROM shared WHERE before < {_OPTIONS.most_homology}),
+fit AS (SELECT * FROM seen WHERE kind = 'over' OR (kind = 'gap' AND ((start < 1000000000 AND y_start >= 1000000000) OR y_start - "limit" + 1 <= {_OPTIONS.most_gap}))),
+best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY fragment, ga, gb ORDER BY joint DESC, "limit", side) = 1),
+homology AS (SELECT fragment, ga, gb, sum(own) AS own FROM seen GROUP BY ALL),
+joined AS (SELECT p.*, b.joint AS bj, CASE WHEN kind = 'gap' OR whole THEN mine ELSE b.joint - y_rest END AS first_span, g_start, CASE WHEN kind = 'gap' OR whole THEN b."limit" ELSE y_start END AS until,
+  CASE WHEN kind = 'over' AND whole THEN b."limit" ELSE y_start END AS since, y_end, side = 0 AS straight, coalesce(h.own, 0) AS own FROM gp p LEFT JOIN best b USING (fragment, ga, gb) LEFT JOIN homology h USING (fragment, ga, gb)),
+scored AS (SELECT *, CASE WHEN sa > coalesce(bj, 0) THEN sa WHEN sb > coalesce(bj, 0) THEN sb WHEN own >= {_OPTIONS.most_homology} THEN NULL ELSE bj END AS joint, sa > coalesce(bj, 0) OR sb > coalesce(bj, 0) AS single FROM joined),
+top AS (SELECT * FROM scored WHERE joint >= need QUALIFY joint = max(joint) OVER (PARTITION BY fragment)),
+shapes AS (SELECT *, bool_or(single OR first_span = 0 OR joint = first_span OR joint - sa < {_OPTIONS.least_span}) OVER (PARTITION BY fragment) AS one_sided,
+  [first_span, joint - first_span] || list_concat(least([g_start, until], [since, y_end]), greatest([g_start, until], [since, y_end])) AS shape FROM top),
+calls AS (SELECT fragment AS candidate, CAST(row_number() OVER (PARTITION BY fragment ORDER BY pa, pb) - 1 AS INTEGER) AS n, ga AS gene1, gb AS gene2, CAST(first_span AS BIGINT) AS span1, CAST(joint - first_span AS BIGINT) AS span2, CAST(joint AS BIGINT) AS joint, straight,
+  g_start AS start1, until AS limit1, since AS start2, y_end AS limit2 FROM shapes WHERE NOT one_sided QUALIFY min(shape) OVER (PARTITION BY fragment) = max(shape) OVER (PARTITION BY fragment))
+"""
+)
+
+
+def _transcript_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gtf(spark, sf_dir, ["record_id", "chrom", "feature", "range_start", "range_stop", "gene_id", "transcript_id"])
+    exons = rows.where((F.col("feature") == "exon") & F.col("transcript_id").isNotNull()).select(F.concat_ws(":", "gene_id", "chrom").alias("fragment"), F.col("transcript_id").alias("gene"), F.col("range_start").cast("bigint").alias("start"), F.col("range_stop").cast("bigint").alias("limit"))
+    merged = periods.merged_and_gaps(exons, ["fragment", "gene"], "start", "limit").where(F.col("kind") == "merged")
+    return merged.select("fragment", "gene", (F.col("start") - 1).alias("start"), "limit")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = _transcript_ranges(spark, sf_dir)
+    spans = fusion.gene_spans(ranges).groupBy("fragment").agg(F.expr("max(span) * 6 div 5").alias("length1"), F.lit(0).alias("length2"))
+    return fusion_calls.fusion_calls(fusion_calls.fragment_genes(ranges).join(spans, "fragment"), options=_OPTIONS)
+
+
+@query(_CALLS + "SELECT * FROM calls")
+def fus9_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all loci, any pair of transcripts: the longest joint spans."""
+    return _calls(spark, sf_dir)
+
+
+_FAMILIES = _CALLS + ", families AS (SELECT * REPLACE (right(gene1, 1) AS gene1, right(gene2, 1) AS gene2) FROM calls)"
+
+
+def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls with genes named by the last character only, so that candidates share pairs."""
+    return _calls(spark, sf_dir).withColumns({c: F.right(c, F.lit(1)) for c in ("gene1", "gene2")})
+
+
+@query(
+    _FAMILIES
+    + """, grouped AS (SELECT candidate, string_agg(least(gene1, gene2) || '/' || greatest(gene1, gene2), ',' ORDER BY n) AS grp, min(least(span1, span2)) AS short FROM families GROUP BY candidate),
+enough AS (SELECT grp FROM grouped GROUP BY grp HAVING count(*) FILTER (short >= 100) >= 2)
+SELECT candidate, n, least(gene1, gene2) || '/' || greatest(gene1, gene2) AS name FROM families SEMI JOIN (SELECT candidate FROM grouped SEMI JOIN enough USING (grp)) k USING (candidate)"""
+)
+def fus14_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of gene pairs that two candidates span well, with their names."""
+    return fusion_calls.named(fusion_calls.well_supported(_families(spark, sf_dir), least_span=100)).select("candidate", "n", "name")
+
+
+@query(
+    _FAMILIES
+    + """, partners AS (SELECT gene1 AS gene, gene2 AS other FROM families UNION SELECT gene2, gene1 FROM families), many AS (SELECT gene FROM partners GROUP BY gene HAVING count(*) > 5)
+SELECT candidate, n, gene1, gene2 FROM families WHERE gene1 NOT IN (FROM many) AND gene2 NOT IN (FROM many)"""
+)
+def fus15_without_promiscuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.without_promiscuous(_families(spark, sf_dir), 5).select("candidate", "n", "gene1", "gene2")
+
+
+@query(
+    _FAMILIES
+    + """, named AS (SELECT candidate, least(gene1, gene2) || '/' || greatest(gene1, gene2) AS name FROM families), support AS (SELECT name, count(DISTINCT candidate) AS s FROM named GROUP BY name),
+foremost AS (SELECT candidate, name FROM (SELECT DISTINCT candidate, name, s FROM named JOIN support USING (name)) QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY s DESC, name) = 1),
+called AS (SELECT name FROM foremost GROUP BY name HAVING count(*) >= 2), truth AS (SELECT DISTINCT a || '/' || b AS name FROM (SELECT right(transcript_id, 1) AS a, right(gene_id, 1) AS b FROM gtf WHERE transcript_id IS NOT NULL) WHERE a < b)
+SELECT (SELECT count(*) FROM called SEMI JOIN truth USING (name)) AS true_positives, (SELECT count(*) FROM called ANTI JOIN truth USING (name)) AS false_positives, (SELECT count(*) FROM truth ANTI JOIN called USING (name)) AS false_negatives"""
+)
+def agg17_truth_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = gtf(spark, sf_dir, ["record_id", "gene_id", "transcript_id"]).where(F.col("transcript_id").isNotNull()).select(F.right("transcript_id", F.lit(1)).alias("a"), F.right("gene_id", F.lit(1)).alias("b")).where("a < b")
+    return fusion_calls.truth_score(fusion_calls.named(_families(spark, sf_dir)), ends.select(F.concat_ws("/", "a", "b").alias("name")))
+
+
+@query()
+def fus13_without_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of candidates that aren't near an earlier one of their gene pairs, by the name's last eight characters as UMI."""
+    calls = _families(spark, sf_dir)
+    texts = calls.select("candidate").distinct().select("candidate", F.right(F.split_part("candidate", F.lit(":"), F.lit(1)), F.lit(8)).alias("umi"), F.lit("").alias("r1"), F.lit("").alias("r2"))
+    return fusion_calls.without_duplicates(calls, texts, umis=True).select("candidate", "n", "gene1", "gene2")
+
+
 # Annotation
 
 _COLUMNS = ["record_id", "chrom", "feature", "range_start", "range_stop", "strand", "gene_id", "transcript_id", "gene_type"]

@@ -33,6 +33,8 @@ def test_umis_are_snapped(spark):
         ("AACCGGTTACGT", "CCGGTT", "AACCGGTT"),
         ("CCGGTT", "AACCGGTTACGT", "CCGGTTACGT"),
         ("CCGGTTACGT", "AACCGGTT", "CCGGTT"),
+        ("AACCGGTTACGTACGTACGTA", "AACCGGTTACGTACGTACGTCGG", "AACCGGTTACGTACGTACGTCGG"),
+        ("AACCGGTTAC", "AACCGGTTAC", "AACCGGTTAC"),
         ("AAAAAAAA", "CCCCCCCC", None),
         ("", "ACGT", None),
     ],
@@ -59,7 +61,6 @@ CANDIDATE = "candidate bigint, gene1 string, gene2 string, span1 int, span2 int,
 def test_candidate_filters(spark):
     rows = [(1, "a", "b", 30, 30, None, "", ""), (2, "b", "a", 30, 30, None, "", ""), (3, "c", "d", 30, 30, "AC", "", ""), (4, "c", "d", 30, 30, "AC", "", ""), (5, "a", "b", 9, 30, None, "", "")]
     df = spark.createDataFrame(rows, CANDIDATE)
-    assert sorted(r.candidate for r in fusion.well_supported(df).collect()) == [1, 2]
     wide = spark.createDataFrame([(i, "hub", f"x{i}", 30, 30, None, "", "") for i in range(6)] + [(9, "a", "b", 30, 30, None, "", "")], CANDIDATE)
     assert [r.candidate for r in fusion.without_promiscuous(wide).collect()] == [9]
     genes = spark.createDataFrame([("a", "1", 0, 10, 0), ("b", "1", 100, 110, 1), ("c", "1", 5000, 5010, 9), ("d", "2", 0, 9, 0)], "gene string, chrom string, start int, limit int, place int")
@@ -142,3 +143,10 @@ def test_low_complexity_links_are_dropped(spark):
     assert sorted(r.candidate for r in fusion.without_low_complexity(df).collect()) == [1, 4]
     got = spark.createDataFrame([("AAAC", "CGGT")], "r1 string, r2 string").select(*[fusion.covered(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")) for a, b in ((0, 3), (0, r2 + 1), (r2, r2 + 3))]).first()
     assert tuple(got) == ("AAA", "AAACC", "CGG")
+
+
+def test_genes_are_left_out_by_name(spark):
+    rows = [("g1", "A-B", "1"), ("g2", "A-B-C", "1"), ("g3", "HLA-A", "1"), ("g4", "MT-X", "1"), ("g5", "A-12", "1"), ("g6", "A.1", "1"), ("g7_PAR_Y", "P", "1"), ("g8", "Q_PAR_Y", "1"), ("g9", "M", "chrM"), ("g10", None, None)]
+    df = spark.createDataFrame(rows, "gene_id string, gene_name string, chrom string")
+    assert {r.gene_id for r in annotation.genes_kept(df).collect()} == {"g3", "g4", "g5", "g8", "g10"}
+    assert annotation.genes_kept(df, keep_mitochondrial=True, keep_read_through=True, keep_par_y=True, keep_versioned=True).count() == 10
