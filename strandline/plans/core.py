@@ -9,14 +9,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strandline.functions import align
 from strandline.functions import seq as seqs
-from strandline.operators import alignments, annotation, badrows, diff, fusion, fusion_calls, kmers, periods, pileup
+from strandline.operators import alignments, annotation, badrows, diff, fusion, fusion_calls, kmers, periods, pileup, planning
 from strandline.operators import intervals as iv
 from strandline.plans import filterlang
 from strandline.plans.adapters import GTF_SQL, READS_SQL, REFERENCE_LENGTH, REFERENCES, gtf, reads
-from strandline.session import table
+from strandline.session import latest_rows, table
 from strandline.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,6 +167,95 @@ def agg12_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.shard_counts(reads(spark, sf_dir, ["read_id", "ref_id", "pos"]), WIDTH)
 
 
+_SHARD_INDEX = """WITH RECURSIVE latest AS (SELECT * FROM shard_index WHERE index_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index_id ORDER BY indexed_at DESC) = 1),
+each AS (SELECT file_id, index_id, CASE WHEN range_start_ref < 0 THEN 2147483647 ELSE range_start_ref END AS er, range_start_pos AS ep, range_limit_ref AS limit_ref, range_limit_pos AS limit_pos,
+  unnest(CASE WHEN len(list_filter(coalesce(blocks, []), lambda x: x.block_no IS NOT NULL)) = 0 THEN [NULL] ELSE list_sort(list_distinct(list_filter(blocks, lambda x: x.block_no IS NOT NULL))) END) AS b FROM latest WHERE file_id IS NOT NULL)
+"""
+
+
+def _shard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_rows(table(spark, sf_dir, "shard_index"), ["index_id"], "indexed_at")
+
+
+@query(
+    _SHARD_INDEX
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY index_id ORDER BY b.block_no) - 1 AS place, count(*) OVER (PARTITION BY index_id) AS n FROM each),
+flat AS (SELECT file_id, CASE WHEN b IS NULL THEN NULL ELSE place END AS place, place = n - 1 AS last, b, limit_ref, limit_pos, row_number() OVER (PARTITION BY file_id ORDER BY er, ep, index_id, place) AS i, count(b) OVER (PARTITION BY file_id) AS blocks,
+  coalesce(lag(b.end_ref) OVER (PARTITION BY index_id ORDER BY place) = b.start_ref AND lag(b.end_pos) OVER (PARTITION BY index_id ORDER BY place) = b.start_pos, false) AS inside FROM numbered),
+walk AS (
+  SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seen, CAST(0 AS BIGINT) AS made, false AS cut, false AS ended, CAST([0, 0, 0] AS INTEGER[]) AS cut_at, CAST([0, 0, 0] AS INTEGER[]) AS top FROM flat
+  UNION ALL
+  SELECT file_id, i, seen + CASE WHEN place IS NOT NULL AND NOT (due AND inside) THEN 1 ELSE 0 END, made + CAST(cut AS INTEGER) + CAST(ended AS INTEGER), cut, ended, here, CASE WHEN last THEN edge WHEN cut THEN here ELSE top END
+  FROM (SELECT *, last AND edge <> CASE WHEN cut THEN here ELSE top END AS ended FROM (SELECT *, due AND NOT inside AND here <> top AS cut FROM (
+    SELECT f.file_id, f.i, f.place, f.last, f.inside, w.seen, w.made, w.top, coalesce(f.place > 0 AND w.seen > (w.made + 1) * f.blocks // 8, false) AS due, [f.b.start_ref, f.b.start_pos, f.b.start_seq] AS here, [f.limit_ref, f.limit_pos, 0] AS edge
+    FROM walk w JOIN flat f ON f.file_id = w.file_id AND f.i = w.i + 1))))
+SELECT file_id, cut_at[1] AS limit_ref, cut_at[2] AS limit_pos, cut_at[3] AS limit_seq FROM walk WHERE cut UNION ALL SELECT file_id, top[1], top[2], top[3] FROM walk WHERE ended"""
+)
+def prt4_read_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where eight read shards of each file end; positions aren't split."""
+    return planning.read_shards(_shard_index(spark, sf_dir), 8)
+
+
+_ENTRIES = _SHARD_INDEX + """, entries AS (SELECT file_id, b.start_ref AS ref_id, b.start_pos AS pos, 65536 * row_number() OVER (PARTITION BY file_id ORDER BY CASE WHEN b.start_ref < 0 THEN 2147483647 ELSE b.start_ref END, b.start_pos, index_id, b.block_no) AS "offset" FROM each WHERE b IS NOT NULL)
+"""
+
+
+def _index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as entries of an index: the n-th of a file lies in its n-th stretch of 64 KiB."""
+    blocks = F.array_distinct(F.filter("blocks", lambda b: b["block_no"].isNotNull()))
+    rows = _shard_index(spark, sf_dir).where(F.col("file_id").isNotNull()).select("file_id", "index_id", F.explode(blocks).alias("b"))
+    order = W.partitionBy("file_id").orderBy(align.ref_order(F.col("b.start_ref")), "b.start_pos", "index_id", "b.block_no")
+    return rows.select("file_id", F.col("b.start_ref").alias("ref_id"), F.col("b.start_pos").alias("pos"), (F.row_number().over(order).cast("bigint") * 65_536).alias("offset"))
+
+
+@query(
+    _ENTRIES
+    + f""", placed AS (SELECT *, CAST(ref_id AS BIGINT) * {REFERENCE_LENGTH} + pos AS lin FROM entries WHERE ref_id >= 0),
+cuts AS (
+  SELECT file_id, min("offset") AS "offset", min(lin // {REFERENCE_LENGTH} * {REFERENCE_LENGTH}) AS lin, true AS lead FROM placed GROUP BY file_id
+  UNION ALL
+  SELECT file_id, "offset", lin, false FROM (SELECT p.*, row_number() OVER (PARTITION BY p.file_id ORDER BY p."offset") AS k FROM cuts c JOIN placed p ON p.file_id = c.file_id AND p."offset" >= c."offset" + 5 * 65536 AND p.lin >= c.lin + 2000000) WHERE k = 1)
+SELECT file_id, CAST(lin // {REFERENCE_LENGTH} AS INTEGER) AS start_ref, CAST(lin % {REFERENCE_LENGTH} AS INTEGER) AS start_pos FROM cuts"""
+)
+def prt3_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where shards of five stretches and two million bases begin."""
+    return planning.byte_shards(_index_entries(spark, sf_dir), [REFERENCE_LENGTH] * len(REFERENCES), 5, 2_000_000)
+
+
+@query(
+    _ENTRIES
+    + """, firsts AS (SELECT file_id, ref_id, pos, min("offset") AS "offset" FROM entries GROUP BY ALL)
+SELECT * FROM firsts WINDOW w AS (PARTITION BY file_id, ref_id ORDER BY "offset") QUALIFY lag("offset") OVER w IS NULL OR "offset" // 300000 <> (lag("offset") OVER w) // 300000"""
+)
+def win8_sparse_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.sparse_entries(_index_entries(spark, sf_dir), 300_000)
+
+
+@query(
+    _SHARD_INDEX.replace("WITH RECURSIVE", f"WITH reads AS ({READS_SQL}),")
+    + """, entries AS (SELECT file_id, b.start_ref AS ref_id, b.start_pos AS at, max(index_id * 1000 + b.block_no) AS entry FROM each WHERE b IS NOT NULL AND b.start_ref >= 0 GROUP BY ALL)
+SELECT read_id, entry FROM (SELECT * FROM reads WHERE ref_id >= 0) r ASOF LEFT JOIN entries e ON r.file_id = e.file_id AND r.ref_id = e.ref_id AND r.pos >= e.at"""
+)
+def join9_index_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floor lookup: the block of each read's file that begins last at or before it."""
+    left = reads(spark, sf_dir, ["read_id", "file_id", "ref_id", "pos"]).where(F.col("ref_id") >= 0)
+    blocks = F.array_distinct(F.filter("blocks", lambda b: b["block_no"].isNotNull()))
+    rows = _shard_index(spark, sf_dir).select("file_id", "index_id", F.explode(blocks).alias("b")).where(F.col("b.start_ref") >= 0)
+    entries = rows.select("file_id", F.col("b.start_ref").alias("ref_id"), F.col("b.start_pos").alias("at"), (F.col("index_id") * 1000 + F.col("b.block_no")).alias("entry"))
+    return iv.floor_lookup(left, entries, ["file_id", "ref_id"], "pos", "at", "entry").select("read_id", "entry")
+
+
+@query(
+    _READS
+    + """SELECT CASE WHEN (CASE WHEN ref_id < 0 THEN 99 ELSE ref_id END) <> (CASE WHEN mate_ref_id < 0 THEN 99 ELSE mate_ref_id END) THEN (CASE WHEN ref_id < 0 THEN 99 ELSE ref_id END) < (CASE WHEN mate_ref_id < 0 THEN 99 ELSE mate_ref_id END)
+  WHEN pos <> mate_pos THEN pos < mate_pos ELSE (flags & 64) <> 0 END AS left_most, count(*) AS n FROM reads GROUP BY 1"""
+)
+def join18_left_most(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reads(spark, sf_dir, ["read_id", "flags", "ref_id", "pos", "mate_ref_id", "mate_pos"])
+    first = planning.left_most(F.col("ref_id"), F.col("pos"), F.col("flags"), F.col("mate_ref_id"), F.col("mate_pos"))
+    return rows.groupBy(first.alias("left_most")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _MATES = (
     _READS
     + """, primary_reads AS (SELECT * FROM reads WHERE (flags & 1) <> 0 AND (flags & 2304) = 0 AND read_name IS NOT NULL),
