@@ -764,7 +764,7 @@ def _parsed(spark: SparkSession, sf_dir: str, edits: bool = False) -> DataFrame:
 
 @query(_LINES + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir, edits=True).where(F.col("reason").isNotNull()).select("raw_id", "reason")
+    return _parsed(spark, sf_dir).where(F.col("reason").isNotNull()).select("raw_id", "reason")
 
 
 @query(_LINES + "SELECT raw_id, g1 AS id, g2 AS seq, g3 AS unk, g4 AS qual FROM judged WHERE reason IS NULL")
@@ -778,6 +778,26 @@ def p6_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, edits=True).where(F.col("reason").isNotNull()).select("raw_id", "reason", "edit_cost", "edits")
 
 
+_P = badrows.programme(badrows.FIELDS)
+_N = len(_P.begin)
+
+
+@query(
+    _LINES.replace("WITH lines", "WITH RECURSIVE lines", 1)
+    + f""", failing AS (SELECT raw_id, reason, list_transform(regexp_extract_all(l, '"|,|[^",]+'), lambda t: CASE t WHEN chr(34) THEN 0 WHEN ',' THEN 1 ELSE 2 END) AS kinds FROM judged WHERE reason IS NOT NULL),
+steps AS (SELECT {_P.step.ravel().tolist()} AS m),
+walk AS (
+  SELECT raw_id, reason, kinds, 0 AS i, {_P.begin.tolist()} AS v FROM failing
+  UNION ALL
+  SELECT raw_id, reason, kinds, i + 1, list_transform(range({_N}), lambda y: list_min(list_transform(range({_N}), lambda x: v[x + 1] + m[kinds[i + 1] * {_N * _N} + x * {_N} + y + 1]))) FROM walk, steps WHERE i < len(kinds)),
+ended AS (SELECT * FROM walk WHERE i = len(kinds))
+SELECT raw_id, reason, CAST(list_min(list_transform({_P.accepted(True)}, lambda x: v[x + 1])) AS INTEGER) AS quote_cost, CAST(list_min(list_transform({_P.accepted(False)}, lambda x: v[x + 1])) AS INTEGER) AS edit_cost FROM ended"""
+)
+def p6_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that fail, with the least edits for good quoting and for four fields."""
+    return _parsed(spark, sf_dir).where(F.col("reason").isNotNull()).select("raw_id", "reason", "quote_cost", "edit_cost")
+
+
 RATE = 0.25
 _MOST = int(RATE * 16**15)
 

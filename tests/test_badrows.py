@@ -66,6 +66,32 @@ def test_edits_are_the_cheapest(seed):
     assert len(edits) == cost
 
 
+def applied(line, edits):
+    """The line with its edits made, from the last to the first; insertions at one place stay in order."""
+    out = list(line) + [""]
+    put = [""] * (len(line) + 1)
+    for e in edits:
+        do, what, _, at = e.split()
+        c = '"' if what == "quote" else ","
+        if do == "delete":
+            assert out[int(at)] == c
+            out[int(at)] = ""
+        else:
+            put[int(at)] += c
+    return "".join(p + c for p, c in zip(put, out, strict=True))
+
+
+def test_edits_mend_the_line():
+    rng = random.Random(99)
+    lines = ["".join(rng.choice('",,ab') for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    for line, (quoted, cost, edits) in zip(lines, badrows.parse_costs(lines, 4), strict=True):
+        assert fixed(applied(line, edits), 4), (line, edits)
+        assert len(edits) == cost >= quoted
+        assert (quoted == 0) == bool(re.fullmatch(f"{FIELD}(?:,{FIELD})*", line))
+    assert [x[:2] for x in badrows.parse_costs(lines, 4, edits=False)] == [x[:2] for x in badrows.parse_costs(lines, 4)]
+    assert badrows.parse_costs([], 4) == []
+
+
 def test_lines_of_many_marks_have_edits_too(spark):
     df = spark.createDataFrame([(1, "@a" + "," * 6000), (2, "@a,A,+," + "a\"" * 5001)], "raw_id bigint, raw_line string")
     got = {r.raw_id: r for r in badrows.parse_reads(df).collect()}
