@@ -61,15 +61,44 @@ def words_of(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, bounds)
 
 
+def grams_of(words: np.ndarray, lengths: Sequence[int]) -> dict[int, np.ndarray]:
+    """By n the hash of every n words in a row, across text bounds too; n itself goes into the hash.
+
+    One pass over the words for each n up to the longest.
+    """
+    out: dict[int, np.ndarray] = {}
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    for n in range(1, max(lengths, default=0) + 1):
+        m = len(words) - n + 1
+        if m <= 0:
+            break
+        sums = sums[:m] * _GRAM + words[n - 1 :]
+        if n in lengths:
+            out[n] = mix(sums + np.uint64(n))
+    return {n: out.get(n, np.zeros(0, dtype=np.uint64)) for n in lengths}
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n words in a row, across text bounds too; n itself goes into the hash."""
-    m = len(words) - n + 1
-    if m <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.full(m, np.uint64(n), dtype=np.uint64)
-    for j in range(n):
-        out = out * _GRAM + words[j : j + m]
-    return mix(out)
+    """The hash of every n words in a row."""
+    return grams_of(words, [n])[n]
+
+
+class Known:
+    """A set of hashes: a table of their low bits, and the sorted hashes behind it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes.astype(np.uint64, copy=False))
+        self.mask = np.uint64((1 << max(10, int(len(self.sorted) * 64).bit_length())) - 1)
+        self.table = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.table[(self.sorted & self.mask).astype(np.int64)] = True
+
+    def spots(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in ``hashes`` members stand."""
+        at = np.flatnonzero(self.table[(hashes & self.mask).astype(np.int64)])
+        if not len(at) or not len(self.sorted):
+            return at[:0]
+        near = np.searchsorted(self.sorted, hashes[at]).clip(max=len(self.sorted) - 1)
+        return at[self.sorted[near] == hashes[at]]
 
 
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:

@@ -93,7 +93,6 @@ def corpus():
 def test_leaks_match_all_pairs(spark, corpus, monkeypatch, bound):
     docs, items = corpus
     monkeypatch.setattr(leakage, "BROADCAST_FINGERPRINTS", bound)
-    monkeypatch.setattr(leakage, "SHORT_IN_SCAN", bound)
     d = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as item", "2 as at")
     found = [tuple(r) for r in leakage.leaks(d, spark.createDataFrame(items, "item_id int, text string").selectExpr("*", "3 as doc")).collect()]
     assert len(found) == len(set(found))
@@ -103,7 +102,6 @@ def test_leaks_match_all_pairs(spark, corpus, monkeypatch, bound):
 @pytest.mark.parametrize("bound", [0, 200_000])
 def test_leaks_of_null_and_repeated_ids(spark, monkeypatch, bound):
     monkeypatch.setattr(leakage, "BROADCAST_FINGERPRINTS", bound)
-    monkeypatch.setattr(leakage, "SHORT_IN_SCAN", bound)
     one, two, three = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
     docs = [(None, f"x {one}"), (5, f"y {two}"), (5, f"u v w {three}"), (6, "none")]
     items = [(None, one), (1, one), (2, two), (2, "z " * 3 + three)]
