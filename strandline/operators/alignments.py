@@ -117,13 +117,27 @@ def checksum(reads: DataFrame, fields: Sequence[str] = tuple(CHECKED)) -> DataFr
 # Order
 
 
-def with_sequence_number(reads: DataFrame, order: str = "read_id") -> DataFrame:
-    """Adds seq_no: 0, 1, ... among the records of one (ref_id, pos), in the order of ``order``.
+#: Values of the order column whose records are numbered by one task.
+STRETCH = 1 << 16
 
-    Unmapped records without a position stand at 0, and share one group, as in the file's order.
+
+def with_sequence_number(reads: DataFrame, order: str = "read_id", stretch: int = STRETCH) -> DataFrame:
+    """Adds seq_no: 0, 1, ... among the records of one (ref_id, pos), in the order of ``order`` (whole numbers).
+
+    Unmapped records without a position stand at 0, and share one group, as in the file's order.  Groups are numbered
+    within stretches of ``order``, and the records of earlier stretches are added; so a group that holds a third of all
+    records is many tasks.
     """
     pos = align.record_position(F.col("ref_id"), F.col("pos"))
-    return reads.withColumn("seq_no", (F.row_number().over(W.partitionBy("ref_id", pos).orderBy(order)) - 1).cast("int"))
+    keys = ["ref_id", "__pos", "__part"]
+    rows = reads.withColumns({"__pos": pos, "__part": F.floor(F.col(order) / stretch)})
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy("ref_id", "__pos").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")).where(F.col("__before") > 0)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    inner = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
+    joined = rows.withColumn("__inner", inner).join(starts, same[0] & same[1] & same[2], "left")
+    return joined.withColumn("seq_no", (F.col("__inner") + F.coalesce("__before", F.lit(0))).cast("int")).select(*[col(c) for c in reads.columns], "seq_no")
 
 
 def coordinate_sorted(reads: DataFrame, tie: Sequence[str] = ("read_id",)) -> DataFrame:

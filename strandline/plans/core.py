@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from strandline.functions import align
 from strandline.functions import seq as seqs
-from strandline.operators import alignments, annotation, badrows, diff, fusion, fusion_calls, kmers, periods, pileup, planning
+from strandline.operators import alignments, annotation, badrows, diff, fusion, fusion_calls, kmers, periods, pileup, planning, sampling
 from strandline.operators import intervals as iv
 from strandline.plans import filterlang
 from strandline.plans.adapters import GTF_SQL, READS_SQL, REFERENCE_LENGTH, REFERENCES, gtf, reads
@@ -798,15 +798,20 @@ def p6_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).where(F.col("reason").isNotNull()).select("raw_id", "reason", "quote_cost", "edit_cost")
 
 
-RATE = 0.25
-_MOST = int(RATE * 16**15)
+RATE, COUNT = 0.25, 1000
+_NAME_NUMBER = "CAST(('0x' || substr(md5(g1), 1, 15)) AS BIGINT)"
 
 
-@query(_LINES + f"SELECT raw_id FROM judged WHERE reason IS NULL AND CAST(('0x' || substr(md5(g1), 1, 15)) AS BIGINT) < {_MOST}")
+@query(_LINES + f"SELECT raw_id FROM judged WHERE reason IS NULL AND {_NAME_NUMBER} < {int(RATE * sampling.SPACE)}")
 def smp1_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the reads, chosen by a hash of the id, so that mates stay together on every run."""
-    number = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 15), 16, 10).cast("bigint")
-    return p6_reads(spark, sf_dir).where(number < _MOST).select("raw_id")
+    return sampling.by_rate(p6_reads(spark, sf_dir), RATE).select("raw_id")
+
+
+@query(_LINES + f"SELECT raw_id FROM judged WHERE reason IS NULL AND {_NAME_NUMBER} < (SELECT least({COUNT} * {sampling.SPACE}::HUGEINT // count(*), {sampling.SPACE}) FROM judged WHERE reason IS NULL)")
+def smp2_downsample_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About a thousand reads."""
+    return sampling.to_count(p6_reads(spark, sf_dir), COUNT).select("raw_id")
 
 
 KNOWN_UMIS = ["ACGTAC", "CAGCGG", "GTTACA", "TTGGCC", "AAACCC", "CTCGCA"]

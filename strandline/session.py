@@ -59,10 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set a folder of our own only where none is named (local tests)."""
+    """Use the cluster's shared folder; only a local master may do without one and gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "strandline-checkpoints"))
 
 

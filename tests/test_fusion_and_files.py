@@ -98,6 +98,12 @@ def test_fastq_is_read_in_ranges(spark, tmp_path):
         list(files.fastq_records(str(tmp_path / "bad.fq")))
     pairs = files.read_fastq_pairs(spark, str(tmp_path / "a.fq"), str(tmp_path / "b.fq.gz"))
     assert pairs.where(F.col("id_1") == F.col("id_2")).count() == 50
+    numbered = files.with_record_number(files.read_fastq(spark, str(tmp_path / "a.fq"), split=64), stretch=100)
+    assert [r.id for r in numbered.orderBy("read_no").collect()] == [x[0] for x in lines]
+    assert [r.read_no for r in numbered.orderBy("offset").collect()] == list(range(50))
+    with pytest.raises(Exception, match="unequal"):
+        (tmp_path / "short.fq").write_text("@r0\nA\n+\n@\n")
+        files.read_fastq_pairs(spark, str(tmp_path / "a.fq"), str(tmp_path / "short.fq")).collect()
 
 
 def test_text_formats(spark, tmp_path):
@@ -105,6 +111,31 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(r) for r in files.read_bed(spark, str(tmp_path / "x.bed")).collect()] == [("chr1", 5, 9), ("chr2", 1, 2)]
     (tmp_path / "x.fa").write_text(">a first one\nACGT\nAC\n>b\nGG\n")
     assert [tuple(r) for r in files.read_fasta(spark, str(tmp_path / "x.fa")).collect()] == [("a", "first one", "ACGTAC"), ("b", "", "GG")]
+    (tmp_path / "y.fa").write_text(">s1 gene A->B\nAC>T\nGT\n>s2\n" + "ACGTA\n" * 40 + "AC\n>s3\n")
+    whole = {"s1": ("gene A->B", "AC>TGT"), "s2": ("", "ACGTA" * 40 + "AC"), "s3": ("", "")}
+    assert {r.name: (r.description, r.bases) for r in files.read_fasta(spark, str(tmp_path / "y.fa")).collect()} == whole
+    for split in (7, 50, 1000):
+        rows = files.read_fasta_source(spark, str(tmp_path / "y.fa"), 16, split).collect()
+        assert {n: "".join(r.bases for r in sorted(rows, key=lambda r: r.chunk_no) if r.name == n) for n in whole} == {n: b for n, (_, b) in whole.items()}
+        assert len(rows) == 1 + 13 + 1
+    index = files.fasta_index(spark, str(tmp_path / "y.fa"))
+    assert [tuple(r) for r in index.collect()] == [("s1", 6, 14, 4, 5), ("s2", 202, 26, 5, 6), ("s3", 0, 273, 0, 0)]
+    files.write_fai(index, str(tmp_path / "fai"))
+    fai = next((tmp_path / "fai").glob("part*"))
+    fasta = files.FastaFile.open(str(tmp_path / "y.fa"), str(fai))
+    assert fasta.names() == ["s1", "s2", "s3"] and fasta.get("s2", 3, 12) == whole["s2"][1][3:12] and fasta.get("s2", 0, 202) == whole["s2"][1]
+    for bad in (("s2", 5, 5), ("s2", 0, 203), ("s2", -1, 4)):
+        with pytest.raises(ValueError):
+            fasta.get(*bad)
+    with pytest.raises(KeyError):
+        fasta.get("none", 0, 1)
+    (tmp_path / "none.fa").write_text("")
+    with pytest.raises(ValueError):
+        files.fasta_index(spark, str(tmp_path / "none.fa"))
+    assert [tuple(r) for r in files.read_bed(spark, str(tmp_path / "x.bed"), strict=True, invert=True).orderBy("ref", "start").collect()][0] == ("chr1", -1, 5)
+    (tmp_path / "bad.bed").write_text("chr1\t9\t5\n")
+    with pytest.raises(Exception, match="not an interval"):
+        files.read_bed(spark, str(tmp_path / "bad.bed"), strict=True).collect()
     (tmp_path / "x.gtf").write_text('#c\nchr1\ts\tgene\t1\t9\t.\t+\t.\tgene_id "G"; gene_name "N";\nchr1\ts\tCDS\t1\t9\t.\t+\t.\tgene_id "G";\n')
     row = files.read_gtf(spark, str(tmp_path / "x.gtf")).collect()
     assert len(row) == 1 and row[0].attributes == {"gene_id": "G", "gene_name": "N"}
