@@ -5,6 +5,8 @@ All of them are built-in expressions; null arguments give null unless a docstrin
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,36 @@ def has_no_mapped_mate(flags: Column) -> Column:
     return ~has_flag(flags, PAIRED) | has_flag(flags, MATE_UNMAPPED)
 
 
+def flag_helpers(flags: Column) -> dict[str, Column]:
+    """The predicates on flags by name: the twelve bits, and primary, has_no_mapped_mate, linear mates."""
+    return {**{name: has_flag(flags, bit) for name, bit in FLAG_NAMES.items()}, "primary": is_primary(flags), "has_no_mapped_mate": has_no_mapped_mate(flags), "mapped": ~has_flag(flags, UNMAPPED), "forward": ~has_flag(flags, REVERSE)}
+
+
+# Tags: arrays of texts such as `NM:i:3`
+
+
+def tag(tags: Column, name: str) -> Column:
+    """The value of the first tag of a name, as text; null without one."""
+    hit = F.get(F.filter(tags, lambda t: t.startswith(F.lit(f"{name}:"))), F.lit(0))
+    return F.regexp_replace(hit, "^[^:]*:[^:]*:", "")
+
+
+def int_tag(tags: Column, name: str) -> Column:
+    """A tag's value as a number; a read without the tag, or whose value is none, is an error."""
+    value = tag(tags, name).try_cast("bigint")
+    return F.coalesce(value, F.raise_error(F.lit(f"a read without a number in tag {name}")).cast("bigint"))
+
+
+def without_tags(tags: Column, names: Sequence[str]) -> Column:
+    """The tags without those of the names, however often they occur."""
+    return F.filter(tags, lambda t: ~F.split_part(t, F.lit(":"), F.lit(1)).isin(*names)) if names else tags
+
+
+def is_linear_duplicate(tags: Column, name: str = "DT", value: str = "SQ") -> Column:
+    """Whether the duplicate-type tag marks a copy made in sequencing; false without the tag."""
+    return F.coalesce(tag(tags, name) == value, F.lit(False))
+
+
 def chimeric(flags: Column, ref: Column, mate_ref: Column) -> Column:
     """Paired, both mates mapped, to different references."""
     return has_flag(flags, PAIRED) & ~has_flag(flags, UNMAPPED | MATE_UNMAPPED) & (ref != mate_ref)
@@ -156,6 +188,15 @@ def read_offset(blocks: Column, at: Column) -> Column:
     return let(hit, lambda h: F.get(h, F.lit(0))["read_start"] + at - F.get(h, F.lit(0))["ref_start"])
 
 
+def base_at(seq: Column, qual: Column, pos: Column, cigar: Column, at: Column) -> Column:
+    """Struct (inside, base, quality) of reference position ``at``: outside of the read inside is false, at a position that
+    the read skips or lacks base and quality are null."""
+    blocks = aligned_blocks(pos, cigar)
+    inside = (at >= pos) & (at < alignment_end(pos, cigar))
+    offset = read_offset(blocks, at)
+    return F.struct(F.coalesce(inside, F.lit(False)).alias("inside"), F.when(inside & offset.isNotNull(), F.substring(seq, offset + 1, F.lit(1))).alias("base"), F.when(inside, F.get(qual, offset)).alias("quality"))
+
+
 # Coordinates: (ref, pos, seq), with reference -1 after all others
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -511,21 +511,104 @@ def aln6_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pileup_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = reads(spark, sf_dir, ["read_id", "read_name", "ref_name", "ref_id", "mate_ref_id", "pos", "mapq", "cigar", "flags", "seq", "qual"]).where(F.col("ref_id") >= 0)
+    rows = reads(spark, sf_dir, ["read_id", "read_name", "ref_name", "ref_id", "mate_ref_id", "pos", "mate_pos", "mapq", "cigar", "flags", "seq", "qual"]).where(F.col("ref_id") >= 0)
     whole = spark.range(len(REFERENCES)).select(F.get(F.array(*[F.lit(r) for r in REFERENCES]), F.col("id").cast("int")).alias("ref"), F.lit(0).alias("start"), F.lit(REFERENCE_LENGTH).alias("limit"))
     return rows.withColumnRenamed("ref_name", "ref"), whole
 
 
-@query()
+_GOOD_READ = "(flags & 3840) = 0 AND (flags & 4) = 0 AND mapq >= 60 AND ref_name IS NOT NULL AND pos >= 0 AND ref_id >= 0 AND cigar NOT IN ('*', '') AND seq <> '*' AND NOT regexp_matches(cigar, '[=XPB]')"
+_BASES_SQL = (
+    _READS
+    + f""", stranded AS (SELECT *, CASE WHEN ref_id <> mate_ref_id THEN 0 WHEN (flags & 240) IN (96, 144) THEN 1 WHEN (flags & 240) IN (80, 160) THEN 2
+    WHEN (flags & 8) <> 0 AND (flags & 48) = 0 THEN 1 WHEN (flags & 8) <> 0 AND (flags & 48) = 48 THEN 2 ELSE 0 END AS strand FROM reads WHERE {_GOOD_READ}),
+kept AS (SELECT *, regexp_extract_all(cigar, '([0-9]+)[MIDNSH]', 1) AS sizes, regexp_extract_all(cigar, '[0-9]+([MIDNSH])', 1) AS kinds FROM stranded WHERE strand <> 0),
+ops AS (SELECT read_id, read_name, ref_name AS ref, pos AS begin, mate_pos, flags, strand, upper(seq) AS seq, qual, i, CAST(sizes[i] AS INTEGER) AS size, kinds[i] AS kind FROM kept, unnest(range(1, len(sizes) + 1)) t(i)),
+laid AS (SELECT *, begin + coalesce(sum(CASE WHEN kind IN ('M', 'D', 'N') THEN size ELSE 0 END) OVER w, 0) AS ref_start, coalesce(sum(CASE WHEN kind IN ('M', 'I', 'S') THEN size ELSE 0 END) OVER w, 0) AS read_start FROM ops
+  WINDOW w AS (PARTITION BY read_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spread AS (SELECT read_id, read_name, ref, strand, begin, mate_pos, flags, ref_start + j AS pos, substr(seq, CAST(read_start + j + 1 AS BIGINT), 1) AS b, coalesce(qual[CAST(read_start + j + 1 AS BIGINT)], 0) AS quality FROM laid, unnest(range(size)) u(j) WHERE kind = 'M'),
+bases AS (SELECT *, CASE WHEN b IN ('A', 'C', 'G', 'T') THEN b ELSE 'N' END AS base FROM spread WHERE length(b) = 1)
+"""
+)
+
+
+def _counts_sql(source: str, least: int) -> str:
+    each = ", ".join(f"count(*) FILTER (base = '{b}' AND strand = {s} AND quality >= {least}) AS {b.lower()}_{n}" for b in "ACGT" for s, n in ((1, "fwd"), (2, "rev")))
+    return f"SELECT ref, CAST(pos AS BIGINT) AS pos, count(*) AS depth, {each}, count(*) FILTER (base = 'N') AS n FROM {source} GROUP BY ref, pos"
+
+
+@query(_BASES_SQL + _counts_sql("bases", 20))
 def pil6_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.pileup(*_pileup_input(spark, sf_dir), pileup.PileupOptions(min_base_quality=20))
 
 
-@query()
+_STITCHED_SQL = (
+    _BASES_SQL
+    + f""", ends AS (SELECT read_id, read_name, ref_name AS ref, pos, mate_pos, flags, pos + coalesce({_SPAN_ONE}, 0) AS "limit", pos < mate_pos OR (pos = mate_pos AND (flags & 64) <> 0) AS early FROM stranded WHERE strand <> 0 AND mate_pos >= 0 AND read_name IS NOT NULL),
+sides AS (SELECT read_name, ref, least(pos, mate_pos) AS low, greatest(pos, mate_pos) AS high, min(read_id) FILTER (early) AS a, arg_min("limit", read_id) FILTER (early) AS a_limit, min(read_id) FILTER (NOT early) AS b FROM ends GROUP BY ALL),
+mates AS (SELECT a AS fragment, unnest([a, b]) AS read_id FROM sides WHERE a IS NOT NULL AND b IS NOT NULL AND high < a_limit AND high - low < 511),
+met AS (SELECT fragment, ref, pos, strand, min(base) AS x, max(base) AS y, min(quality) AS q, max(quality) AS r, count(*) AS n FROM bases JOIN mates USING (read_id) GROUP BY ALL),
+weighed AS (SELECT *, pow(10.0::DOUBLE, -q / 10.0::DOUBLE) AS e, pow(10.0::DOUBLE, -r / 10.0::DOUBLE) AS f FROM met),
+stitched AS (SELECT ref, pos, strand, base, quality FROM bases ANTI JOIN mates USING (read_id) UNION ALL
+  SELECT ref, pos, strand, CASE WHEN n = 1 OR x = y THEN x ELSE 'N' END, CASE WHEN n > 1 AND x = y THEN least(CAST(round(-10.0 * log10((e * f) / ((1 - e) * (1 - f) + e * f))) AS INTEGER), 95) ELSE q END FROM weighed)
+"""
+)
+
+
+@query(_STITCHED_SQL + _counts_sql("stitched", 43))
 def pil7_stitched_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pileup.pileup(*_pileup_input(spark, sf_dir), pileup.PileupOptions(min_base_quality=43, stitch=True))
 
 
+@query(_BASES_SQL + ", one AS (SELECT * FROM bases WHERE strand = 2) " + _counts_sql("one", 20))
+def pil11_reverse_strand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pileup of the fragments of the reverse strand."""
+    return pileup.per_strand(*_pileup_input(spark, sf_dir), pileup.PileupOptions(min_base_quality=20))["rev"]
+
+
+@query(
+    _BASES_SQL
+    + """SELECT ref, CAST(pos AS BIGINT) AS pos, base, count(*) AS n, string_agg(CAST(read_offset AS VARCHAR), ',' ORDER BY read_id) AS from_start, string_agg(CAST(quality AS VARCHAR), ',' ORDER BY read_id) AS quality
+FROM (SELECT b.*, b.at - 1 AS read_offset FROM (SELECT read_id, ref, ref_start + j AS pos, CASE WHEN substr(seq, CAST(read_start + j + 1 AS BIGINT), 1) IN ('A', 'C', 'G', 'T') THEN substr(seq, CAST(read_start + j + 1 AS BIGINT), 1) ELSE 'N' END AS base, CAST(read_start + j + 1 AS BIGINT) AS at, coalesce(qual[CAST(read_start + j + 1 AS BIGINT)], 0) AS quality
+  FROM laid, unnest(range(size)) u(j) WHERE kind = 'M') b) WHERE base <> 'N' AND quality >= 20 GROUP BY ref, pos, base""".replace("b.at", "b.spot").replace("AS at,", "AS spot,")
+)
+def pil9_read_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each base seen, where in which reads it stands, and its qualities."""
+    options = pileup.PileupOptions(min_base_quality=20)
+    found = pileup.read_features(pileup.aligned_bases(*_pileup_input(spark, sf_dir), options), options)
+    lists = [F.array_join(F.transform(f"features.{c}", lambda x: x.cast("string")), ",").alias(n) for c, n in (("from_start", "from_start"), ("quality", "quality"))]
+    return found.select("ref", "pos", "base", F.size("features").cast("bigint").alias("n"), *lists)
+
+
+def _first_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference for the outputs: at every position the base that most reads show, ties to the smaller one."""
+    found = pil6_base_counts(spark, sf_dir)
+    counts = F.array(*[F.struct((F.col(f"{b.lower()}_fwd") + F.col(f"{b.lower()}_rev")).alias("n"), F.lit(-i).alias("i"), F.lit(b).alias("b")) for i, b in enumerate("ACGT")])
+    return found.select("ref", "pos", F.array_max(counts)["b"].alias("base"))
+
+
+_PILED = _BASES_SQL + ", piled AS (" + _counts_sql("bases", 20) + """), most AS (SELECT *, a_fwd + a_rev AS a, c_fwd + c_rev AS c, g_fwd + g_rev AS g, t_fwd + t_rev AS t FROM piled),
+refs AS (SELECT *, CASE WHEN a >= greatest(c, g, t) THEN 'A' WHEN c >= greatest(g, t) THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END AS r FROM most)
+"""
+
+
+@query(_PILED + """SELECT ref AS "#CHROM", pos + 1 AS "POS", r AS "REF", depth AS "DP", CASE r WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END AS ref_depth_tier1, CAST(0 AS BIGINT) AS ref_depth_tier2 FROM refs""")
+def snk11_reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.reference_lines(pil6_base_counts(spark, sf_dir), _first_reads(spark, sf_dir))
+
+
+@query(
+    _PILED
+    + """SELECT ref AS "#CHROM", pos + 1 AS "POS", r AS "REF", s AS "ALT", v AS alt_depth_tier1, CAST(0 AS BIGINT) AS alt_depth_tier2 FROM (SELECT *, unnest(['A', 'C', 'G', 'T']) AS s, unnest([a, c, g, t]) AS v FROM refs) WHERE v > 0 AND s <> r"""
+)
+def snk11_alternative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.alternative_lines(pil6_base_counts(spark, sf_dir), _first_reads(spark, sf_dir))
+
+
+@query(_PILED + 'SELECT ref AS "#CHROM", pos + 1 AS "POS", r AS "REF", ' + ", ".join(f'{c} AS "{n}"' for n, c in pileup.STRAND_COLUMNS.items()) + " FROM refs")
+def snk13_base_strand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pileup.base_strand_lines(pil6_base_counts(spark, sf_dir), _first_reads(spark, sf_dir))
+
+
 # Fusion building blocks over the k-mer table: a "gene" is the file that a k-mer was scanned from
 
 _HITS = """WITH k AS (SELECT file_id, read_idx, pos, least(forward_kmer, revcomp_kmer) AS kmer FROM kmers WHERE forward_kmer <> -1 AND revcomp_kmer <> -1),
@@ -747,6 +830,75 @@ def gtf4_gene_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.gene_places(gtf(spark, sf_dir, _COLUMNS))
 
 
+_LISTED = "list(struct_pack(start := CAST(range_start AS INTEGER), stop := CAST(range_stop AS INTEGER)) ORDER BY range_start, range_stop)"
+_TRANSCRIPTS = (
+    _GTF
+    + f""", ok AS (SELECT * FROM gtf WHERE range_start <= range_stop), one AS (SELECT transcript_id, gene_id, chrom, strand FROM ok WHERE feature = 'transcript' AND transcript_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY record_id) = 1),
+listed AS (SELECT transcript_id, gene_id, chrom, one.strand, {_LISTED} AS l FROM (SELECT transcript_id, gene_id, chrom, range_start, range_stop FROM ok WHERE feature = 'exon') e JOIN one USING (transcript_id, gene_id, chrom) GROUP BY ALL),
+ordered AS (SELECT * REPLACE (CASE WHEN strand = '-' THEN list_reverse(l) ELSE l END AS l) FROM listed)
+"""
+)
+
+
+def _shown(pieces: str) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.concat_ws("-", p["start"].cast("string"), p["stop"].cast("string"))), ",")
+
+
+def _shown_sql(pieces: str) -> str:
+    return f"array_to_string(list_transform({pieces}, lambda p: concat_ws('-', p.start, p.stop)), ',')"
+
+
+@query(
+    _TRANSCRIPTS.replace("WITH gtf", "WITH RECURSIVE gtf", 1)
+    + """, fold AS (SELECT transcript_id, strand, l, 0 AS i, CAST([] AS STRUCT(start INTEGER, stop INTEGER)[]) AS js FROM ordered
+  UNION ALL
+  SELECT transcript_id, strand, l, i + 1, list_append(CASE WHEN len(js) > 0 AND CASE WHEN js[-1].start <= one.start THEN one.start <= js[-1].stop + 1 ELSE js[-1].start - 1 <= one.stop END
+      THEN list_append(js[:-2], CASE WHEN strand = '-' THEN struct_pack(start := one.start, stop := js[-1].stop) ELSE struct_pack(start := js[-1].start, stop := one.stop) END) ELSE list_append(js, one) END, two)
+  FROM (SELECT *, CASE WHEN strand = '-' THEN z ELSE a END AS one, CASE WHEN strand = '-' THEN a ELSE z END AS two FROM (
+    SELECT *, struct_pack(start := l[i + 1].start - 60, stop := l[i + 1].start + 10) AS a, struct_pack(start := l[i + 1].stop - 10, stop := l[i + 1].stop + 60) AS z FROM fold WHERE i < len(l))))
+"""
+    + f"SELECT transcript_id, {_shown_sql('js')} AS junctions FROM fold WHERE i = len(l)"
+)
+def gtf3_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transcript's windows of 60 bases outside and 10 inside of its exons' ends."""
+    return annotation.transcript_pieces(gtf(spark, sf_dir, _COLUMNS), 60, separate_junctions=True, kept=10).select("transcript_id", _shown("junctions").alias("junctions"))
+
+
+@query(
+    _TRANSCRIPTS.replace("WITH gtf", "WITH RECURSIVE gtf", 1)
+    + """, fold AS (SELECT transcript_id, l, 0 AS i, CAST([] AS STRUCT(start INTEGER, stop INTEGER)[]) AS js FROM ordered
+  UNION ALL
+  SELECT transcript_id, l, i + 1, CASE WHEN len(js) > 0 AND CASE WHEN js[-1].start <= e.start THEN e.start <= js[-1].stop + 1 ELSE js[-1].start - 1 <= e.stop END
+      THEN list_append(js[:-2], struct_pack(start := least(js[-1].start, e.start), stop := greatest(js[-1].stop, e.stop))) ELSE list_append(js, e) END
+  FROM (SELECT *, struct_pack(start := greatest(l[i + 1].start - 40, 0), stop := l[i + 1].stop + 40) AS e FROM fold WHERE i < len(l)))
+"""
+    + f"SELECT transcript_id, array_to_string(list_transform(l, lambda e: e.stop - e.start + 1), ',') AS exon_lengths, {_shown_sql('js')} AS exons FROM fold WHERE i = len(l)"
+)
+def gtf6_transcript_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transcript's exons with 40 bases of padding, merged in order, and their lengths without."""
+    rows = annotation.transcript_pieces(gtf(spark, sf_dir, _COLUMNS), 40)
+    return rows.select("transcript_id", F.array_join(F.transform("exon_lengths", lambda n: n.cast("string")), ",").alias("exon_lengths"), _shown("exons").alias("exons"))
+
+
+@query(_GTF + f"SELECT gene_id, chrom, strand, concat_ws('-', greatest(range_start - 500, 1), range_stop + 500) AS piece FROM gtf WHERE feature = 'gene' AND gene_id IS NOT NULL AND range_start <= range_stop QUALIFY row_number() OVER (PARTITION BY gene_id, chrom ORDER BY record_id) = 1")
+def gtf7_whole_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.gene_pieces(gtf(spark, sf_dir, _COLUMNS), 500).select("gene_id", "chrom", "strand", _shown("exons").alias("piece"))
+
+
+@query(
+    _TRANSCRIPTS
+    + f""", each AS (SELECT gene_id, chrom, strand, unnest(l, recursive := true) FROM ordered),
+marked AS (SELECT *, max(stop) OVER (PARTITION BY gene_id, chrom, strand ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM each),
+numbered AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY gene_id, chrom, strand ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+merged AS (SELECT gene_id, chrom, strand, min(start) AS start, max(stop) AS stop FROM numbered GROUP BY gene_id, chrom, strand, run),
+whole AS (SELECT gene_id, chrom, strand, list(struct_pack(start, stop) ORDER BY start) AS l FROM merged GROUP BY ALL)
+SELECT gene_id, chrom, strand, {_shown_sql("CASE WHEN strand = '-' THEN list_reverse(l) ELSE l END")} AS exons FROM whole"""
+)
+def gtf8_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged exons of all transcripts of each gene."""
+    return annotation.collapsed_pieces(gtf(spark, sf_dir, _COLUMNS)).select("gene_id", "chrom", "strand", _shown("exons").alias("exons"))
+
+
 # Raw reads: sampling and UMIs
 
 _FIELD = '[^",]*|"(?:[^"]|"")*"'
