@@ -64,7 +64,19 @@ def agg3_merged_flagstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.merge_flagstat(table(spark, sf_dir, "flagstat").distinct())
 
 
-@query()
+def _flagstat_text_sql() -> str:
+    lines = [("total", "in total (QC-passed reads + QC-failed reads)", None), ("secondary", "secondary", None), ("supplementary", "supplementary", None), ("duplicate", "duplicates", None), ("mapped", "mapped", "total"), ("paired", "paired in sequencing", None), ("r1", "read1", None), ("r2", "read2", None), ("good_pair", "properly paired", "paired"), ("pair_map", "with itself and mate mapped", None), ("single", "singletons", "paired"), ("diff_chr", "with mate mapped to a different chr", None), ("diff_high", "with mate mapped to a different chr (mapQ>=5)", None)]
+
+    def number(c: str, q: str) -> str:
+        return f"coalesce(sum({c}) FILTER (qc_fail = {q}), 0)"
+
+    def share(c: str, whole: str) -> str:
+        return "' (' || " + " || ':' || ".join(f"CASE WHEN {number(whole, q)} > 0 THEN printf('%.2f%%', 100.0 * {number(c, q)} / {number(whole, q)}) ELSE 'N/A' END" for q in ("false", "true")) + " || ')'"
+
+    return " UNION ALL ".join(f"SELECT {i} AS line_no, {number(c, 'false')} || ' + ' || {number(c, 'true')} || ' {label}'{f' || {share(c, whole)}' if whole else ''} AS line FROM stats" for i, (c, label, whole) in enumerate(lines))
+
+
+@query(_READS + f", stats AS ({_FLAGSTAT_SQL}) " + _flagstat_text_sql())
 def snk19_flagstat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.flagstat_text(agg1_flagstat(spark, sf_dir))
 
@@ -122,7 +134,12 @@ def src24_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir, ["read_id", "ref_id", "pos"]).where(condition).select("read_id")
 
 
-@query()
+@query(
+    _READS
+    + """SELECT read_id, concat_ws(chr(9), coalesce(read_name, '*'), flags, coalesce(ref_name, '*'), coalesce(pos, -1) + 1, mapq, coalesce(cigar, '*'),
+  CASE WHEN mate_ref_name = ref_name AND ref_name <> '*' THEN '=' ELSE coalesce(mate_ref_name, '*') END, coalesce(mate_pos, -1) + 1, 0, coalesce(seq, '*'),
+  CASE WHEN len(qual) > 0 THEN array_to_string(list_transform(qual, lambda q: chr(q + 33)), '') ELSE '*' END) AS line FROM reads WHERE mapq >= 40 AND (flags & 4) = 0"""
+)
 def snk1_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered records as sorted lines of SAM."""
     from strandline.sources.files import sam_line
@@ -999,12 +1016,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.checksum_differences(table(spark, sf_dir, "checksum_bam"), table(spark, sf_dir, "checksum_pam")).select("file_id", "ref_name", "field_name")
 
 
-@query()
+_SAME_KEY = "pl.file_id IS NOT DISTINCT FROM bl.file_id AND pl.ref_name IS NOT DISTINCT FROM bl.ref_name"
+_P3_VALUES = _P3[: _P3.index("SELECT file_id, ref_name, 'missing_in_pam'")] + f"""SELECT file_id, ref_name, 'missing_in_pam' AS field_name, CAST(NULL AS VARCHAR) AS left_value, CAST(NULL AS VARCHAR) AS right_value FROM bl WHERE NOT EXISTS (SELECT 1 FROM pl WHERE {_SAME_KEY})
+UNION ALL SELECT file_id, ref_name, 'missing_in_bam', NULL, NULL FROM pl WHERE NOT EXISTS (SELECT 1 FROM bl WHERE {_SAME_KEY})
+""" + "".join(f"UNION ALL SELECT bl.file_id, bl.ref_name, '{c}', CAST(bl.{c} AS VARCHAR), CAST(pl.{c} AS VARCHAR) FROM bl JOIN pl ON {_SAME_KEY} WHERE bl.{c} IS DISTINCT FROM pl.{c}\n" for c in _CHECKSUM_FIELDS)
+
+
+@query(_P3_VALUES)
 def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The differences with both values."""
     return diff.checksum_differences(table(spark, sf_dir, "checksum_bam"), table(spark, sf_dir, "checksum_pam"))
 
 
+def _flag_rows(df: DataFrame) -> DataFrame:
+    return df.select("file_id", "flags", F.when(F.col("mapq") < 30, 0).otherwise(1).alias("well"), F.floor(F.col("read_id") % 7).alias("lane"))
+
+
+@query()
+def p3_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of two copies whose key, the file, repeats: reads by flags, quality and lane, one copy without duplicates' bits."""
+    rows = reads(spark, sf_dir, ["read_id", "file_id", "flags", "mapq"])
+    other = rows.withColumn("flags", F.when(F.col("read_id") % 97 == 0, F.col("flags").bitwiseXOR(F.lit(1024))).otherwise(F.col("flags"))).where(F.col("read_id") % 389 != 0)
+    return diff.differences(_flag_rows(rows), _flag_rows(other), ["file_id"], ["flags", "well", "lane"])
+
+
 @query(
     _GTF
     + """, e AS (SELECT gene_id, chrom, range_start AS a, range_stop AS b FROM gtf WHERE feature = 'exon' AND range_start <= range_stop),
