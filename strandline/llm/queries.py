@@ -81,6 +81,35 @@ QUERIES: dict[str, Query] = {
     for f in (p1_found, p1_pieces, p2_found, p2_groups, p5_found, p5_top100, p7_ids, p7_round_trip, p8_found, p9_found, p9_statistics, p9_scored)
 }
 
+_P1 = """
+WITH RECURSIVE latest AS (SELECT * FROM shard_index WHERE index_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index_id ORDER BY indexed_at DESC) = 1),
+due AS (
+  SELECT index_id, CAST(approx_file_bytes AS HUGEINT) AS size, CAST(bytes_per_shard AS HUGEINT) AS cap, coalesce(padding, 0) AS padding, coalesce(split_mapped_coords, false) AS sm, coalesce(split_unmapped_coords, false) AS su, blocks
+  FROM latest JOIN shard_opts USING (opts_id) WHERE bytes_per_shard > 0 AND approx_file_bytes > bytes_per_shard
+    AND NOT (coalesce(padding, 0) <> 0 AND (coalesce(split_mapped_coords, false) OR coalesce(split_unmapped_coords, false)))),
+flat AS (SELECT index_id, unnest(blocks, recursive := true) FROM due),
+once AS (SELECT * FROM flat WHERE block_no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index_id, block_no) = 1),
+b AS (
+  SELECT *, coalesce(num_records, 0) AS n, row_number() OVER w AS i, coalesce(sum(coalesce(num_records, 0)) OVER (PARTITION BY index_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    lag(end_ref) OVER w AS pr, lag(end_pos) OVER w AS pp FROM once WINDOW w AS (PARTITION BY index_id ORDER BY block_no)),
+totals AS (SELECT index_id, CAST(sum(n) AS HUGEINT) AS total FROM b GROUP BY index_id),
+allowed AS (
+  SELECT b.*, CASE WHEN start_ref IS DISTINCT FROM pr THEN 1 WHEN start_pos IS DISTINCT FROM pp THEN 2 WHEN CASE WHEN start_ref = -1 THEN su ELSE sm END THEN 3 END AS level FROM b JOIN due USING (index_id) WHERE i > 1),
+cuts AS (
+  SELECT index_id, CAST(1 AS BIGINT) AS i, CAST(0 AS HUGEINT) AS done FROM b WHERE b.i = 1
+  UNION ALL
+  SELECT x.index_id, x.i, CAST(b.before AS HUGEINT) FROM (
+    SELECT c.index_id, coalesce(max(a.i) FILTER ((a.before - c.done) * size <= cap * total), min(a.i)) AS i
+    FROM cuts c JOIN due USING (index_id) JOIN totals USING (index_id) JOIN allowed a ON a.index_id = c.index_id AND a.i > c.i AND a.level IS NOT NULL
+    WHERE (total - c.done) * size > cap * total GROUP BY c.index_id, c.i) x JOIN b ON b.index_id = x.index_id AND b.i = x.i)
+"""
+_P1_FOUND = _P1 + "SELECT index_id, block_no FROM cuts JOIN b USING (index_id, i) WHERE i > 1"
+_P1_PIECES = _P1 + """, runs AS (SELECT index_id, i, coalesce(lead(i) OVER w, 1000000000) AS until, CAST(row_number() OVER w - 1 AS INTEGER) AS piece_no FROM cuts WINDOW w AS (PARTITION BY index_id ORDER BY i))
+SELECT r.index_id, piece_no, min(b.block_no) AS first_block, max(b.block_no) AS last_block, min(a.level) FILTER (a.i = r.i) AS level, CAST(sum(b.n) AS BIGINT) AS records,
+  arg_min(b.start_ref, b.i) AS range_start_ref, greatest(arg_min(b.start_pos, b.i) - min(padding), 0) AS range_start_pos, arg_max(b.end_ref, b.i) AS range_limit_ref, arg_max(b.end_pos, b.i) + min(padding) AS range_limit_pos
+FROM runs r JOIN due USING (index_id) JOIN b ON b.index_id = r.index_id AND b.i >= r.i AND b.i < r.until LEFT JOIN allowed a ON a.index_id = b.index_id AND a.i = b.i GROUP BY r.index_id, piece_no
+"""
+
 _P2_SHINGLES = """
 WITH latest AS (
   SELECT read_id, upper(seq) AS s FROM (SELECT read_id, seq, row_number() OVER (PARTITION BY read_id ORDER BY loaded_at DESC) AS k FROM aligned_reads)
@@ -146,6 +175,8 @@ stats AS (
 """
 
 SQL: dict[str, str] = {
+    "p1_found": _P1_FOUND,
+    "p1_pieces": _P1_PIECES,
     "p2_found": _P2_SHINGLES,
     "p2_groups": _P2_GROUPS,
     "p5_found": f"WITH c AS ({_COUNTED}) SELECT kmer FROM c GROUP BY kmer HAVING count(*) * {P5_ONE_IN} >= (SELECT count(*) FROM c)",
