@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import leakage, neardup, quality, shards, tokenizer, topk
+from strandline.llm import leakage, neardup, quality, shards, splitting, tokenizer, topk
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.pieces(table(spark, sf_dir, "shard_index"), table(spark, sf_dir, "shard_opts"))
 
 
+def p1_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in pieces of at most 2,000 characters that share up to 200, by the same hierarchy of separators."""
+    return splitting.text_pieces(table(spark, sf_dir, "documents", ["doc_id", "text"]), 2_000, 200)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_reads(neardup.latest_reads(table(spark, sf_dir, "aligned_reads", ["read_id", "seq", "loaded_at"])))
 
@@ -78,7 +83,7 @@ def p9_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_groups, p5_found, p5_top100, p7_ids, p7_round_trip, p8_found, p9_found, p9_statistics, p9_scored)
+    for f in (p1_found, p1_pieces, p1_text_pieces, p2_found, p2_groups, p5_found, p5_top100, p7_ids, p7_round_trip, p8_found, p9_found, p9_statistics, p9_scored)
 }
 
 _P1 = """

@@ -1,8 +1,8 @@
 """Cutting oversized shard-index entries into pieces under a byte limit.
 
-A recursive hierarchy of separators marks where an entry may be cut: where the reference changes, else where the
-position changes, else between blocks of one position if its options split positions.  Pieces are packed greedily
-up to the limit; each piece's range overlaps its neighbours by the padding.
+The separators of ``splitting`` are here, from the coarsest: where the reference changes, where the position changes,
+and between blocks of one position if the options split positions.  An entry is divided level by level and packed
+greedily up to the limit; each piece's range overlaps its neighbours by the padding.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.exprs import let
+from strandline.llm.splitting import filled_cuts
 from strandline.session import latest_rows
 
 #: Separator levels, the coarsest first.
@@ -34,41 +35,8 @@ def _level(block: Column, before: Column, split_mapped: Column, split_unmapped:
     )
 
 
-def _pack(units: Column, cap: Column, total: Column) -> Column:
-    """Greedy packing: the numbers of the blocks before which a cut is made.
-
-    ``units`` are structs (block_no, records, level), in order.  A piece ends at the last allowed cut that keeps
-    it within ``cap`` records, or else at the first allowed one, while more than ``cap`` records are left.
-    """
-    start = F.struct(F.lit(0).cast("bigint").alias("begin"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("bigint").alias("last_sum"), F.array().cast("array<int>").alias("cuts"))
-
-    def state(begin: Column, total_before: Column, last: Column, last_sum: Column, cuts: Column) -> Column:
-        return F.struct(begin.alias("begin"), total_before.alias("sum"), last.alias("last"), last_sum.alias("last_sum"), cuts.alias("cuts"))
-
-    def step(s: Column, u: Column) -> Column:
-        after = s["sum"] + u["records"]
-        none, no_sum = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-        skip = state(s["begin"], after, s["last"], s["last_sum"], s["cuts"])
-        mark = state(s["begin"], after, u["block_no"], s["sum"], s["cuts"])
-        at_last_and_mark = state(s["last_sum"], after, u["block_no"], s["sum"], F.concat(s["cuts"], F.array(s["last"])))
-        at_last_and_here = state(s["sum"], after, none, no_sum, F.concat(s["cuts"], F.array(s["last"], u["block_no"])))
-        here = state(s["sum"], after, none, no_sum, F.concat(s["cuts"], F.array(u["block_no"])))
-        return (
-            F.when(u["level"].isNull(), skip)
-            .when(s["sum"] - s["begin"] <= cap, mark)
-            .when(s["last"].isNull(), here)
-            .when(s["sum"] - s["last_sum"] <= cap, at_last_and_mark)
-            .otherwise(at_last_and_here)
-        )
-
-    def finish(s: Column) -> Column:
-        return F.when((total - s["begin"] > cap) & s["last"].isNotNull(), F.concat(s["cuts"], F.array(s["last"]))).otherwise(s["cuts"])
-
-    return F.aggregate(units, start, step, finish)
-
-
 def plan_cuts(index: DataFrame, options: DataFrame) -> DataFrame:
-    """Adds to the latest row of each entry its ordered blocks, its options and the cuts (array of block numbers).
+    """Adds to the latest row of each entry its ordered blocks, its options and the cuts (places of blocks, from 0).
 
     Only entries that are to be cut are returned: approx_file_bytes above a positive bytes_per_shard, at least one
     block, and no padding together with splitting of positions.  Entries without options, with a null size or a
@@ -84,39 +52,29 @@ def plan_cuts(index: DataFrame, options: DataFrame) -> DataFrame:
         F.col("o.bytes_per_shard").alias("bytes_per_shard"),
     ).where((F.col("bytes_per_shard") > 0) & ~((F.col("padding") != 0) & (F.col("split_mapped") | F.col("split_unmapped"))))
     due = rows.join(settings, "opts_id").where(F.col("approx_file_bytes") > F.col("bytes_per_shard"))
-    return due.withColumn("plan", _plan(*[F.col(c) for c in ("blocks", "approx_file_bytes", "bytes_per_shard", "split_mapped", "split_unmapped")])).where(F.col("plan").isNotNull())
+    planned = due.withColumn("plan", _plan(*[F.col(c) for c in ("blocks", "approx_file_bytes", "bytes_per_shard", "split_mapped", "split_unmapped")])).where(F.size("plan.blocks") > 0)
+    return planned.withColumn("cuts", filled_cuts("plan.sizes", "plan.levels", "plan.cap"))
 
 
 def _plan(blocks: Column, size: Column, limit: Column, split_mapped: Column, split_unmapped: Column) -> Column:
-    """Struct (blocks, units, records, cuts) of an entry; null if it has no blocks."""
+    """Struct (blocks, sizes, levels, cap) of an entry: its blocks, their records, what separates them, and the records of a
+    piece that just keeps within the limit, in whole numbers."""
 
     def counted(b: Column) -> Column:
-        return F.struct(b.alias("blocks"), F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x["num_records"]).alias("records"))
+        return F.struct(b.alias("blocks"), F.transform(b, lambda x: x["num_records"].cast("bigint")).alias("sizes"))
 
     def capped(c: Column) -> Column:
-        # The records of a piece that just keeps within the limit, in whole numbers; less than all of them.
-        wide = [x.cast("decimal(19,0)") for x in (limit, c["records"], size)]
-        cap = F.call_function("div", wide[0] * wide[1], wide[2]).cast("bigint")
-        units = F.transform(
-            c["blocks"],
-            lambda b, i: F.struct(
-                b["block_no"].alias("block_no"),
-                b["num_records"].cast("bigint").alias("records"),
-                F.when(i > 0, _level(b, F.get(c["blocks"], i - 1), split_mapped, split_unmapped)).alias("level"),
-            ),
-        )
-        return F.struct(c["blocks"].alias("blocks"), c["records"].alias("records"), cap.alias("cap"), units.alias("units"))
-
-    def packed(c: Column) -> Column:
-        cuts = _pack(c["units"], c["cap"], c["records"])
-        return F.when(F.size(c["blocks"]) > 0, F.struct(c["blocks"].alias("blocks"), c["units"].alias("units"), c["records"].alias("records"), cuts.alias("cuts")))
-
-    return let(let(let(_ordered_blocks(blocks), counted), capped), packed)
+        records = F.aggregate(c["sizes"], F.lit(0).cast("bigint"), lambda s, n: s + n)
+        wide = [x.cast("decimal(19,0)") for x in (limit, records, size)]
+        levels = F.transform(c["blocks"], lambda b, i: F.when(i > 0, _level(b, F.get(c["blocks"], i - 1), split_mapped, split_unmapped)))
+        return F.struct(c["blocks"].alias("blocks"), c["sizes"].alias("sizes"), levels.alias("levels"), F.call_function("div", wide[0] * wide[1], wide[2]).cast("bigint").alias("cap"))
+
+    return let(let(_ordered_blocks(blocks), counted), capped)
 
 
 def first_blocks(index: DataFrame, options: DataFrame) -> DataFrame:
     """(index_id, block_no): the first block of each piece but the first."""
-    return plan_cuts(index, options).select("index_id", F.explode("plan.cuts").alias("block_no"))
+    return plan_cuts(index, options).select("index_id", F.explode(F.transform("cuts", lambda i: F.get("plan.blocks", i)["block_no"])).alias("block_no"))
 
 
 def pieces(index: DataFrame, options: DataFrame) -> DataFrame:
@@ -124,30 +82,21 @@ def pieces(index: DataFrame, options: DataFrame) -> DataFrame:
 
     Columns: index_id, piece_no (from 0), first_block, last_block, level (of the cut before it, null for the
     first), records, range_start_ref, range_start_pos, range_limit_ref, range_limit_pos.  Positions aren't widened
-    below 0.  An entry without an allowed cut is one piece.
+    below 0.  An entry without an allowed cut is one piece.  Each piece takes its own slice of blocks.
     """
-
-    def cut_up(plan: Column) -> Column:
-        begins = F.concat(F.array(F.get(plan["blocks"], F.lit(0))["block_no"]), plan["cuts"])
-        return let(begins, lambda b: F.transform(b, lambda first, i: piece(plan, first, F.get(b, i + 1), i)))
-
-    def piece(plan: Column, first: Column, until: Column, i: Column) -> Column:
-        mine = F.filter(plan["blocks"], lambda b: (b["block_no"] >= first) & (until.isNull() | (b["block_no"] < until)))
-        level = F.get(F.filter(plan["units"], lambda u: u["block_no"] == first), F.lit(0))["level"]
-        return let(mine, lambda m: shape(m, i, level))
-
-    def shape(mine: Column, i: Column, level: Column) -> Column:
-        first, last = F.get(mine, F.lit(0)), F.get(mine, F.size(mine) - 1)
-        return F.struct(
-            i.alias("piece_no"),
-            first["block_no"].alias("first_block"),
-            last["block_no"].alias("last_block"),
-            level.alias("level"),
-            F.aggregate(mine, F.lit(0).cast("bigint"), lambda s, b: s + b["num_records"]).alias("records"),
-            first["start_ref"].alias("range_start_ref"),
-            F.greatest(first["start_pos"] - F.col("padding"), F.lit(0)).alias("range_start_pos"),
-            last["end_ref"].alias("range_limit_ref"),
-            (last["end_pos"] + F.col("padding")).alias("range_limit_pos"),
-        )
-
-    return plan_cuts(index, options).select("index_id", F.inline(let(F.col("plan"), cut_up)))
+    begins = F.concat(F.array(F.lit(0)), F.col("cuts"))
+    rows = plan_cuts(index, options).select("index_id", "padding", "plan", F.concat(F.col("cuts"), F.array(F.size("plan.blocks"))).alias("ends"), F.posexplode(begins).alias("piece_no", "begin"))
+    mine = rows.select("index_id", "piece_no", "padding", F.get("plan.levels", F.col("begin")).alias("level"), F.slice("plan.blocks", F.col("begin") + 1, F.get("ends", F.col("piece_no")) - F.col("begin")).alias("mine"))
+    first, last = F.get("mine", F.lit(0)), F.element_at("mine", -1)
+    return mine.select(
+        "index_id",
+        "piece_no",
+        first["block_no"].alias("first_block"),
+        last["block_no"].alias("last_block"),
+        "level",
+        F.aggregate("mine", F.lit(0).cast("bigint"), lambda s, b: s + b["num_records"]).alias("records"),
+        first["start_ref"].alias("range_start_ref"),
+        F.greatest(first["start_pos"] - F.col("padding"), F.lit(0)).alias("range_start_pos"),
+        last["end_ref"].alias("range_limit_ref"),
+        (last["end_pos"] + F.col("padding")).alias("range_limit_pos"),
+    )

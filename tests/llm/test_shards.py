@@ -116,3 +116,42 @@ def test_pieces_cover_all_blocks_and_overlap_by_the_padding(make):
 def test_empty_tables(make):
     assert shards.first_blocks(*make([], [])).count() == 0
     assert shards.pieces(*make([], [])).count() == 0
+
+
+def test_texts_are_cut_at_the_coarsest_separators():
+    from strandline.llm.splitting import pieces_of
+
+    text = "Head one\n\nFirst sentence here. Second one.\nNext line of it\n\nTail word " + "x" * 30
+    cut = [text[a:b] for a, b in pieces_of(text, 40)]
+    assert "".join(cut) == text and max(map(len, cut)) <= 40
+    assert cut[0] == "Head one\n\n" and cut[1] == "First sentence here. Second one.\n" and cut[2] == "Next line of it\n\n"
+    assert pieces_of("abc", 10) == [(0, 3)] and pieces_of("x" * 25, 10) == [(0, 10), (10, 20), (20, 25)]
+
+
+@pytest.mark.parametrize("overlap", [0, 7, 30])
+def test_text_pieces(spark, overlap):
+    import random
+
+    from strandline.llm import splitting
+
+    rng = random.Random(2)
+    texts = [None, "", " ", "\n\n", "é" * 100] + ["".join(rng.choice(["word ", "A.\n", "b", "\n\n", "Long-er! ", "  "]) for _ in range(rng.randint(1, 200))) for _ in range(60)]
+    df = spark.createDataFrame([(None if i % 9 == 4 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").selectExpr("*", "1 as piece_no", "'x' as piece")
+    rows = splitting.text_pieces(df, 40, overlap).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        if i % 9 == 4:
+            continue
+        mine = sorted(by_text.get(i, []), key=lambda r: r.piece_no)
+        if not t:
+            assert not mine
+            continue
+        assert [r.piece_no for r in mine] == list(range(len(mine))) and mine[0].begin == 0
+        assert all(r.piece == t[r.begin : r.begin + len(r.piece)] and 0 < len(r.piece) <= 40 for r in mine)
+        ends = [r.begin + len(r.piece) for r in mine]
+        assert ends[-1] == len(t) and all(a < b for a, b in zip(ends, ends[1:]))
+        assert all(0 <= e - r.begin <= overlap for e, r in zip(ends, mine[1:]))
+    with pytest.raises(ValueError):
+        splitting.text_pieces(df, 10, 10)
