@@ -114,6 +114,14 @@ def checksum(reads: DataFrame, fields: Sequence[str] = tuple(CHECKED)) -> DataFr
     return reads.groupBy(name).agg(F.count(F.lit(1)).alias("n_recs"), F.sum(F.greatest(F.col("pos"), F.lit(0)).cast("bigint")).alias("sum_pos"), *sums)
 
 
+def checksum_json(sums: DataFrame) -> str:
+    """The checksums, one object a reference (of which there are few), as JSON; unmapped reads under `*`."""
+    import json
+
+    rows = [r.asDict() for r in sums.orderBy("ref_name").collect()]
+    return json.dumps({r.pop("ref_name") or "*": r for r in rows}, indent=2, sort_keys=True)
+
+
 # Order
 
 

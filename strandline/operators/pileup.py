@@ -267,7 +267,8 @@ def base_strand_lines(found: DataFrame, reference: DataFrame) -> DataFrame:
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """A table of positions as tab-separated text with a header, sorted by place, a file a range."""
-    lines.orderBy("#CHROM", "POS").write.mode("overwrite").option("header", True).csv(path, sep="\t")
+    # Another comment character keeps the header's # from being quoted.
+    lines.orderBy("#CHROM", "POS").write.mode("overwrite").option("header", True).option("comment", "\x01").csv(path, sep="\t")
 
 
 def read_base_strand(spark: SparkSession, path: str) -> DataFrame:

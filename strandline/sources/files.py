@@ -356,7 +356,10 @@ SAM_COLUMNS = ["read_name", "flags", "ref_name", "pos", "mapq", "cigar", "mate_r
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text: the eleven fields (positions from 0, qualities as numbers, `=` resolved) and the tags as texts."""
+    """SAM text: the eleven fields (positions from 0, qualities as numbers, `=` resolved) and the tags as texts.
+
+    Numbers that can't be read are null.
+    """
     raw = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t", -1)
 
@@ -366,14 +369,14 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     quals = F.when(at(10) == "*", F.array().cast("array<int>")).otherwise(F.transform(F.split(at(10), "", -1), lambda c: F.ascii(c) - 33))
     return raw.select(
         at(0).alias("read_name"),
-        at(1).cast("int").alias("flags"),
+        at(1).try_cast("int").alias("flags"),
         at(2).alias("ref_name"),
-        (at(3).cast("int") - 1).alias("pos"),
-        at(4).cast("int").alias("mapq"),
+        (at(3).try_cast("int") - 1).alias("pos"),
+        at(4).try_cast("int").alias("mapq"),
         at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("mate_ref_name"),
-        (at(7).cast("int") - 1).alias("mate_pos"),
-        at(8).cast("int").alias("template_length"),
+        (at(7).try_cast("int") - 1).alias("mate_pos"),
+        at(8).try_cast("int").alias("template_length"),
         at(9).alias("seq"),
         quals.alias("qual"),
         F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))).alias("tags"),
