@@ -7,7 +7,7 @@ a base (1 A, 2 C, 4 G, 8 T, 15 any).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.exprs import let
@@ -47,9 +47,16 @@ def pack(seq: Column) -> Column:
     return F.translate(known, NIBBLE_BASES, _HEX)
 
 
-def unpack(packed: Column, bases: str = NIBBLE_BASES) -> Column:
-    """Bases of packed digits, by any table of 16 letters."""
-    return F.translate(F.upper(packed), _HEX, bases)
+def _part(text: Column, start: int, limit: int | None) -> Column:
+    """[start, limit) of a text; to its end without a limit."""
+    if not start and limit is None:
+        return text
+    return F.substring(text, F.lit(start + 1), F.length(text) if limit is None else F.lit(max(limit - start, 0)))
+
+
+def unpack(packed: Column, bases: str = NIBBLE_BASES, start: int = 0, limit: int | None = None) -> Column:
+    """Bases of packed digits, or of [start, limit) of them, by any table of 16 letters."""
+    return F.translate(F.upper(_part(packed, start, limit)), _HEX, bases)
 
 
 def reverse_complement_packed(packed: Column) -> Column:
@@ -66,9 +73,41 @@ def reverse_complement_codes(codes: Column) -> Column:
     return F.reverse(F.translate(codes, "0123", "3210"))
 
 
-def count_bases(seq: Column, bases: str) -> Column:
-    """How many letters of ``seq`` are among ``bases`` (letters, as they stand)."""
-    return F.length(F.regexp_replace(seq, f"[^{bases}]", ""))
+def count_bases(seq: Column, bases: str, start: int = 0, limit: int | None = None) -> Column:
+    """How many letters of ``seq``, or of its part [start, limit), are among ``bases`` (letters, as they stand)."""
+    return F.length(F.regexp_replace(_part(seq, start, limit), f"[^{bases}]", ""))
+
+
+def two_bit_bytes(seq: Column) -> Column:
+    """Four bases a byte, A 0, C 1, G 2, T 3 (others 0), the first in the lowest bits, as hexadecimal digits."""
+    codes = F.translate(base_codes(seq), "4", "0")
+    groups = F.regexp_extract_all(codes, F.lit("[0-3]{1,4}"), F.lit(0))
+
+    def byte(g: Column) -> Column:
+        digits = F.split(F.reverse(g), "", -1)
+        return F.lpad(F.hex(F.aggregate(digits, F.lit(0).cast("bigint"), lambda v, d: v * 4 + d.cast("bigint"))), 2, "0")
+
+    return F.array_join(F.transform(groups, byte), "")
+
+
+def fastq_body(packed: Column, length: Column, bases: str, quals: str) -> Column:
+    """`bases`, `+` and `qualities` on three lines, of a nibble a base that stands for both; the low nibble of a byte is first."""
+    pairs = F.regexp_replace(F.upper(packed), "(.)(.)", "$2$1")
+    digits = F.substring(pairs, F.lit(1), length)
+    return F.concat_ws("\n", F.translate(digits, _HEX, bases), F.lit("+"), F.translate(digits, _HEX, quals))
+
+
+def checked_umi(umi: Column, known: bool = False) -> Column:
+    """The UMI; letters other than A, C, G, T (and N, if it isn't of a known list) are an error."""
+    letters = "ACGT" if known else "ACGTN"
+    return F.when(umi.rlike(f"[^{letters}]"), F.raise_error(F.concat(F.lit("not a UMI: "), umi)).cast("string")).otherwise(umi)
+
+
+def words_over(spark: SparkSession, k: int, alphabet: str = "ACGTN") -> DataFrame:
+    """(word): every word of k letters of the alphabet, in order."""
+    n = len(alphabet)
+    places = [F.substring(F.lit(alphabet), ((F.floor(F.col("id") / n ** (k - 1 - i)) % n) + 1).cast("int"), F.lit(1)) for i in range(k)]
+    return spark.range(n**k).select(F.concat(*places).alias("word"))
 
 
 def composition(seq: Column) -> Column:

@@ -231,6 +231,34 @@ def bounded_pairs(reads: DataFrame, most_span: int = 1000) -> DataFrame:
     return near.select("read_name", F.col("ref_id_1").alias("ref_id"), start.alias("start"), limit.alias("limit"), "read_id_1", "read_id_2").where(F.col("limit") - F.col("start") <= most_span)
 
 
+def pairs_by_shard(pairs: DataFrame, width: int) -> DataFrame:
+    """(shard, ...): bounded pairs once for each shard of ``width`` bases that they touch."""
+    first, last = F.floor(F.col("start") / width).cast("bigint"), F.floor((F.col("limit") - 1) / width).cast("bigint")
+    return pairs.select("*", F.explode(F.sequence(first, F.greatest(first, last))).alias("shard"))
+
+
+def missing_mate_summary(reads: DataFrame, width: int, most_names: int = 101) -> DataFrame:
+    """(ref_id, shard, n, names): of each shard how many reads lack their mate, and the first ``most_names`` of their names.
+
+    Names are ranked by a window limit before they are gathered, so a shard's list is bounded.
+    """
+    one = reads.select("read_id", "read_name", "flags", "ref_id", "pos")
+    lost = missing_mates(one.select("read_id", "read_name", "flags")).select("read_name")
+    primary = one.where(align.has_flag(F.col("flags"), align.PAIRED) & align.is_primary(F.col("flags")))
+    at = primary.join(lost, "read_name", "left_semi").groupBy("ref_id", F.floor(F.greatest(F.col("pos"), F.lit(0)) / width).cast("bigint").alias("shard"), "read_name").agg(F.count(F.lit(1)).alias("k"))
+    counts = at.groupBy("ref_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("ref_id", "shard").orderBy("read_name"))
+    names = at.withColumn("place", place).where(F.col("place") <= most_names).groupBy("ref_id", "shard").agg(F.array_sort(F.collect_list("read_name")).alias("names"))
+    return counts.join(names, ["ref_id", "shard"])
+
+
+def position_deltas(reads: DataFrame, width: int = 1 << 16, order: str = "read_id") -> DataFrame:
+    """Adds delta: the distance to the position of the record before, within a block of ``width`` bases and in coordinate
+    order; the first of a block has its position."""
+    along = W.partitionBy("ref_id", F.floor(F.col("pos") / width)).orderBy("pos", order)
+    return reads.withColumn("delta", F.col("pos") - F.coalesce(F.lag("pos").over(along), F.lit(0)))
+
+
 def pair_counts(reads: DataFrame) -> DataFrame:
     """(same_ref, n): pairs whose mates lie on one reference and on two."""
     pairs = read_pairs(reads.select("read_id", "read_name", "flags", "ref_id"))

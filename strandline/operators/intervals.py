@@ -27,10 +27,15 @@ def union(intervals: DataFrame) -> DataFrame:
     return merged_and_gaps(closed, ["ref"], "a", "b").where(F.col("kind") == "merged").select("ref", F.col("a").alias("start"), (F.col("b") + 1).alias("limit"))
 
 
-def complement(intervals: DataFrame, low: int = LOWEST, high: int = HIGHEST) -> DataFrame:
-    """What the union of each mentioned reference leaves of [low, high)."""
+def complement(intervals: DataFrame, low: int = LOWEST, high: int = HIGHEST, references: DataFrame | None = None) -> DataFrame:
+    """What the union of each mentioned reference leaves of [low, high); ``references`` (ref) without intervals are left whole."""
     from strandline.operators.periods import merged_and_gaps
 
+    if references is not None:
+        named = intervals.where(F.col("start") < F.col("limit")).select("ref").distinct()
+        empty = references.select("ref").distinct().join(named, "ref", "left_anti").select("ref", F.lit(low).cast("bigint").alias("start"), F.lit(high).cast("bigint").alias("limit"))
+        return complement(intervals, low, high).unionByName(empty)
+
     closed = intervals.where(F.col("start") < F.col("limit")).select("ref", F.greatest(F.col("start").cast("bigint"), F.lit(low)).alias("a"), F.least(F.col("limit").cast("bigint") - 1, F.lit(high - 1)).alias("b"))
     found = merged_and_gaps(closed, ["ref"], "a", "b")
     gaps = found.where(F.col("kind") == "gap").select("ref", F.col("a").alias("start"), (F.col("b") + 1).alias("limit"))
@@ -45,6 +50,31 @@ def subset(intervals: DataFrame, ref: str, start: int, limit: int) -> DataFrame:
     return union(cut.select("ref", F.greatest("start", F.lit(start)).alias("start"), F.least("limit", F.lit(limit)).alias("limit")))
 
 
+def within(intervals: DataFrame, references: DataFrame, start: tuple[str, int], limit: tuple[str, int]) -> DataFrame:
+    """The union's part in [start, limit), a stretch over one or more references in the order of ``references`` (ref, ref_id).
+
+    A stretch that isn't increasing is an error; intervals of unknown references are left out.
+    """
+    numbers = {r.ref: r.ref_id for r in references.where(F.col("ref").isin(start[0], limit[0])).collect()}
+    if (numbers[start[0]], start[1]) >= (numbers[limit[0]], limit[1]):
+        raise ValueError("a region must not be empty or inverted")
+    first, last = numbers[start[0]], numbers[limit[0]]
+    known = intervals.join(F.broadcast(references.where(F.col("ref_id").between(first, last)).select("ref", "ref_id")), "ref")
+    low = F.when(F.col("ref_id") == first, F.greatest(F.col("start"), F.lit(start[1]))).otherwise(F.col("start"))
+    high = F.when(F.col("ref_id") == last, F.least(F.col("limit"), F.lit(limit[1]))).otherwise(F.col("limit"))
+    return union(known.select("ref", low.alias("start"), high.alias("limit")))
+
+
+def endpoints(intervals: DataFrame) -> DataFrame:
+    """(ref, n, first, last): of each reference how many ends its union has, the least and the greatest."""
+    return union(intervals).groupBy("ref").agg((2 * F.count(F.lit(1))).alias("n"), F.min("start").alias("first"), F.max("limit").alias("last"))
+
+
+def block_meets(start: Column, end: Column, low: Column, limit: Column) -> Column:
+    """Whether a block from ``start`` to ``end``, both included, meets [low, limit); coordinates as structs."""
+    return (start < limit) & (low <= end)
+
+
 def covered_bases(intervals: DataFrame) -> DataFrame:
     """(ref, bases) that the union covers."""
     return union(intervals).groupBy("ref").agg(F.sum(F.col("limit") - F.col("start")).alias("bases"))

@@ -317,6 +317,34 @@ def join3_distant_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.distant_mates(reads(spark, sf_dir, ["read_id", "flags", "ref_id", "pos", "mate_ref_id", "mate_pos"]), WIDTH, PADDING)
 
 
+@query(
+    _MATES
+    + f""", near AS (SELECT read_name, least(one.pos, two.pos) AS start, greatest(one.pos + coalesce({_SPAN_SQL.format('one')}, 0), two.pos + coalesce({_SPAN_SQL.format('two')}, 0)) AS "limit"
+  FROM one JOIN two USING (read_name) WHERE one.ref_id >= 0 AND one.ref_id = two.ref_id AND (one.flags & 4) = 0 AND (two.flags & 4) = 0)
+SELECT read_name, unnest(range(start // 500, greatest(("limit" - 1) // 500, start // 500) + 1)) AS shard FROM near WHERE "limit" - start <= 1000"""
+)
+def join2_pairs_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded pairs once for each shard of 500 bases that they cross."""
+    return alignments.pairs_by_shard(join2_bounded_pairs(spark, sf_dir), 500).select("read_name", "shard")
+
+
+@query(
+    _MATES
+    + f""", lost AS (SELECT coalesce(one.read_name, two.read_name) AS read_name FROM one FULL JOIN two ON one.read_name = two.read_name WHERE one.read_name IS NULL OR two.read_name IS NULL),
+at AS (SELECT DISTINCT ref_id, CAST(floor(greatest(pos, 0) / {WIDTH}) AS BIGINT) AS shard, read_name FROM primary_reads SEMI JOIN lost USING (read_name)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id, shard ORDER BY read_name) AS k FROM at)
+SELECT ref_id, shard, count(*) AS n, string_agg(read_name, ',' ORDER BY read_name) FILTER (k <= 101) AS names FROM ranked GROUP BY ref_id, shard""".replace("at AS (", "spots AS (").replace("FROM at)", "FROM spots)")
+)
+def agg16_missing_mate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignments.missing_mate_summary(reads(spark, sf_dir, ["read_id", "read_name", "flags", "ref_id", "pos"]), WIDTH)
+    return found.select("ref_id", "shard", "n", F.array_join("names", ",").alias("names"))
+
+
+@query(_READS + "SELECT read_id, pos - coalesce(lag(pos) OVER (PARTITION BY ref_id, pos // 65536 ORDER BY pos, read_id), 0) AS delta FROM reads WHERE ref_id >= 0")
+def win7_position_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.position_deltas(reads(spark, sf_dir, ["read_id", "ref_id", "pos"]).where(F.col("ref_id") >= 0)).select("read_id", "delta")
+
+
 @query(_MATES + "SELECT one.ref_id = two.ref_id AS same_ref, count(*) AS n FROM one JOIN two USING (read_name) GROUP BY 1")
 def agg11_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments.pair_counts(reads(spark, sf_dir, ["read_id", "read_name", "flags", "ref_id"]))
@@ -351,6 +379,22 @@ def int2_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.complement(_exons(spark, sf_dir))
 
 
+@query(
+    _EXONS
+    + """SELECT ref, greatest(start, CASE WHEN ref = 'chr3' THEN 10000000 ELSE 0 END) AS start, least("limit", CASE WHEN ref = 'chr6' THEN 60000000 ELSE 2147483647 END) AS "limit" FROM merged
+WHERE ref IN ('chr3', 'chr4', 'chr5', 'chr6') AND NOT (ref = 'chr3' AND "limit" <= 10000000) AND NOT (ref = 'chr6' AND start >= 60000000)"""
+)
+def int8_within_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union's part of a region over four references."""
+    names = spark.createDataFrame(list(enumerate(REFERENCES)), "ref_id int, ref string")
+    return iv.within(_exons(spark, sf_dir), names, ("chr3", 10_000_000), ("chr6", 60_000_000))
+
+
+@query(_EXONS + 'SELECT ref, 2 * count(*) AS n, min(start) AS "first", max("limit") AS "last" FROM merged GROUP BY ref')
+def int9_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iv.endpoints(_exons(spark, sf_dir))
+
+
 @query(_EXONS + 'SELECT ref, CAST(sum("limit" - start) AS BIGINT) AS bases FROM merged GROUP BY ref')
 def agg13_covered_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.covered_bases(_exons(spark, sf_dir))
@@ -435,6 +479,25 @@ def seq1_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull()).select("read_id", packed.alias("packed"), seqs.unpack(packed).alias("unpacked"), seqs.reverse_complement_packed(packed).alias("turned"))
 
 
+_TWO_BIT = "translate(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), 'ACGT', '0123')"
+
+
+@query(
+    _READS
+    + f"""SELECT read_id, array_to_string(list_transform(regexp_extract_all({_TWO_BIT}, '[0-3]{{1,4}}'), lambda g: printf('%02X', CAST(list_sum(list_transform(range(length(g)), lambda i: CAST(g[i + 1] AS BIGINT) * CAST(power(4, i) AS BIGINT))) AS BIGINT))), '') AS two_bit,
+  length(regexp_replace(substr(seq, 11, 20), '[^CG]', '', 'g')) AS cg FROM reads WHERE seq IS NOT NULL"""
+)
+def seq9_two_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four bases a byte, and the C and G of bases 10 to 30."""
+    rows = reads(spark, sf_dir, ["read_id", "seq"]).where(F.col("seq").isNotNull())
+    return rows.select("read_id", seqs.two_bit_bytes(F.col("seq")).alias("two_bit"), seqs.count_bases(F.col("seq"), "CG", 10, 30).alias("cg"))
+
+
+@query("WITH RECURSIVE w AS (SELECT '' AS word UNION ALL SELECT word || unnest(['A', 'C', 'G', 'T', 'N']) FROM w WHERE length(word) < 6) SELECT word FROM w WHERE length(word) = 6")
+def seq23_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seqs.words_over(spark, 6)
+
+
 def _count_sql(base: str) -> str:
     return f"length(regexp_replace(upper(seq), '[^{base}]', '', 'g'))"
 
@@ -1071,8 +1134,25 @@ def str5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(table(spark, sf_dir, "events", ["ts", "user_id"]), "ts", "user_id")
 
 
-@query("SELECT count(DISTINCT event_id) AS n FROM events")
+@query("""SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR""")
+def str1_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts as a stream closes them: windows that end six hours or more before the latest event."""
+    counted = streams.replay(spark, f"{sf_dir}/events.parquet", lambda e: streams.tumbling_counts(e, "ts", "event_type", "value", lateness="6 hours").select("event_type", "window_start", "n"))
+    return counted
+
+
+@query(
+    """WITH marked AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM numbered GROUP BY user_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"""
+)
+def str5_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as a stream closes them: those that end six hours or more before the latest event."""
+    return streams.replay(spark, f"{sf_dir}/events.parquet", lambda e: streams.sessions(e, "ts", "user_id", lateness="6 hours"))
+
+
+@query("SELECT DISTINCT event_id FROM events")
 def str6_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events once each, by a stream that is replayed to its end."""
-    path = f"{sf_dir}/events.parquet"
-    return streams.replay(spark, path, lambda e: streams.first_of_each(e, "ts", ["event_id"], "3650 days")).agg(F.count(F.lit(1)).alias("n"))
+    """Events once each, by a stream that is replayed to its end and forgets an event after a week."""
+    return streams.replay(spark, f"{sf_dir}/events.parquet", lambda e: streams.first_of_each(e, "ts", ["event_id"], "7 days")).select("event_id")
