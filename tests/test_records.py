@@ -163,3 +163,42 @@ def test_empty_tables(reads, spark):
     none = reads([])
     assert alignments.flagstat(none).count() == alignments.checksum(none).count() == alignments.read_pairs(none).count() == 0
     assert pileup.pileup(none, regions(spark)).count() == 0
+
+
+def test_tags_and_bases_at_positions(spark):
+    df = spark.createDataFrame([(["DS:i:3", "RG:Z:a:b", "DT:Z:SQ"], "ACGTAC", [1, 2, 3, 4, 5, 6], 10, "2S2M1D2M")], "tags array<string>, seq string, qual array<int>, pos int, cigar string")
+    t = F.col("tags")
+    got = df.select(align.int_tag(t, "DS"), align.tag(t, "RG"), align.tag(t, "XX"), align.is_linear_duplicate(t), align.without_tags(t, ["DS", "DT"])).first()
+    assert tuple(got) == (3, "a:b", None, True, ["RG:Z:a:b"])
+    with pytest.raises(Exception, match="without a number"):
+        df.select(align.int_tag(t, "RG")).collect()
+    at = [tuple(r[0]) for r in [df.select(align.base_at(F.col("seq"), F.col("qual"), F.col("pos"), F.col("cigar"), F.lit(p))).first() for p in (9, 10, 11, 12, 13, 14, 15)]]
+    assert at == [(False, None, None), (True, "G", 3), (True, "T", 4), (True, None, None), (True, "A", 5), (True, "C", 6), (False, None, None)]
+
+
+def test_packed_parts_and_words(spark):
+    row = spark.range(1).select(seq.unpack(F.lit("1248F"), start=1, limit=3), seq.count_bases(F.lit("CCGA"), "C", 1, 3), seq.two_bit_bytes(F.lit("ACGTT")), seq.fastq_body(F.lit("1032"), F.lit(3), "ACGT" * 4, "#5:I" * 4), seq.checked_umi(F.lit("ACN"))).first()
+    assert tuple(row) == ("CG", 1, "E403", "ACG\n+\n#5:", "ACN")
+    for bad, known in (("ACX", False), ("ACN", True)):
+        with pytest.raises(Exception, match="not a UMI"):
+            spark.range(1).select(seq.checked_umi(F.lit(bad), known)).collect()
+    assert [r.word for r in seq.words_over(spark, 2, "AC").collect()] == ["AA", "AC", "CA", "CC"]
+
+
+def test_regions_over_references(spark):
+    from strandline.operators import intervals as iv
+    from strandline.operators import sampling
+
+    df = spark.createDataFrame([("a", 0, 10), ("b", 5, 9), ("c", 3, 8), ("x", 0, 9), ("c", 8, 8)], "ref string, start int, limit int")
+    names = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "ref string, ref_id int")
+    assert sorted(tuple(r) for r in iv.within(df, names, ("a", 4), ("c", 5)).collect()) == [("a", 4, 10), ("b", 5, 9), ("c", 3, 5)]
+    with pytest.raises(ValueError):
+        iv.within(df, names, ("c", 4), ("a", 5))
+    left = iv.complement(df.where("ref = 'b'"), references=names.select("ref")).collect()
+    assert sorted((r.ref, r.start) for r in left) == [("a", -1), ("b", -1), ("b", 9), ("c", -1), ("d", -1)]
+    reads = spark.createDataFrame([(f"n{i // 2}",) for i in range(400)] + [(None,)], "id string")
+    kept = sampling.by_rate(reads, 0.5).collect()
+    assert len(kept) % 2 == 0 and 120 < len(kept) < 280 and sampling.by_rate(reads, 7).count() == 400
+    assert sampling.to_count(reads, 1000).count() == 400 and 40 < sampling.to_count(reads, 100).count() < 170
+    with pytest.raises(ValueError):
+        sampling.by_rate(reads, -0.1)
