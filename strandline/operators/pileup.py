@@ -91,14 +91,22 @@ def _bases(rows: DataFrame, regions: DataFrame, extra: tuple[str, ...] = ()) ->
     blocks = rows.select(*extra, "read_id", "read_name", "ref", "seq", "qual", "strand", F.inline("blocks")).withColumns({"start": F.col("ref_start"), "limit": F.col("ref_start") + F.col("length")})
     inside = iv.intersections(blocks, iv.union(regions))
 
-    def at(pos: Column) -> Column:
-        offset = (F.col("read_start") + pos - F.col("ref_start")).cast("int")
-        base = F.substring(F.col("seq"), offset + 1, F.lit(1))
-        known = F.when(base.isin(*BASES), base).when(F.length(base) == 1, "N")
-        return F.struct(pos.alias("pos"), known.alias("base"), F.coalesce(F.get("qual", offset), F.lit(0)).alias("quality"), offset.alias("read_offset"))
-
-    each = F.transform(F.sequence(F.col("shared_start").cast("bigint"), F.col("shared_limit").cast("bigint") - 1), at)
-    return inside.select(*extra, "read_id", "read_name", "ref", "strand", F.length("seq").alias("read_length"), F.inline(each)).where(F.col("base").isNotNull())
+    each = inside.select(*extra, "read_id", "read_name", "ref", "strand", "seq", "qual", "ref_start", "read_start", F.explode(F.sequence(F.col("shared_start").cast("bigint"), F.col("shared_limit").cast("bigint") - 1)).alias("pos"))
+    offset = (F.col("read_start") + F.col("pos") - F.col("ref_start")).cast("int")
+    base = F.substring(F.col("seq"), offset + 1, F.lit(1))
+    # The projection stays in the generator's stage, so that rows are compact before anything copies them.
+    return each.select(
+        *extra,
+        "read_id",
+        "read_name",
+        "ref",
+        "strand",
+        F.length("seq").alias("read_length"),
+        "pos",
+        F.when(base.isin(*BASES), base).when(F.length(base) == 1, "N").alias("base"),
+        F.coalesce(F.get("qual", offset), F.lit(0)).alias("quality"),
+        offset.alias("read_offset"),
+    ).where(F.col("base").isNotNull())
 
 
 def aligned_bases(reads: DataFrame, regions: DataFrame, options: PileupOptions) -> DataFrame:
