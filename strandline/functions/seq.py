@@ -227,11 +227,13 @@ def edit_distance_reading_on(a: str, b: str, after_a: str = "", after_b: str = "
 
 
 def edit_distance_column(a: Column, b: Column, after_a: Column, after_b: Column) -> Column:
-    """``edit_distance_reading_on`` of four columns, in Arrow batches; null if any is null."""
+    """``edit_distance_reading_on`` of four columns; null if any is null.  Where nothing follows the words it is the built-in
+    distance; only the other rows are worked on, in Arrow batches."""
 
     @F.pandas_udf("int")
     def of(a: pd.Series, b: pd.Series, after_a: pd.Series, after_b: pd.Series) -> pd.Series:
         rows = zip(a, b, after_a, after_b, strict=True)
         return pd.Series([None if None in r else edit_distance_reading_on(*r) for r in rows], dtype="Int32")
 
-    return of(a, b, after_a, after_b)
+    alone = (after_a == "") & (after_b == "") & (F.length(a) == F.length(b))
+    return F.when(alone, F.levenshtein(a, b)).otherwise(of(F.when(~alone, a), b, after_a, after_b))

@@ -65,6 +65,7 @@ def flagstat_text(stats: DataFrame) -> DataFrame:
         return F.concat(F.lit(" ("), one[0], F.lit(":"), one[1], F.lit(")"))
 
     none = F.lit("")
+    # The labels of the report, in its order.
     lines = [
         ("total", "in total (QC-passed reads + QC-failed reads)", none),
         ("secondary", "secondary", none),
