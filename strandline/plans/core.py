@@ -485,7 +485,7 @@ _TWO_BIT = "translate(regexp_replace(upper(seq), '[^ACGT]', 'A', 'g'), 'ACGT', '
 @query(
     _READS
     + f"""SELECT read_id, array_to_string(list_transform(regexp_extract_all({_TWO_BIT}, '[0-3]{{1,4}}'), lambda g: printf('%02X', CAST(list_sum(list_transform(range(length(g)), lambda i: CAST(g[i + 1] AS BIGINT) * CAST(power(4, i) AS BIGINT))) AS BIGINT))), '') AS two_bit,
-  length(regexp_replace(substr(seq, 11, 20), '[^CG]', '', 'g')) AS cg FROM reads WHERE seq IS NOT NULL"""
+  CAST(length(regexp_replace(substr(seq, 11, 20), '[^CG]', '', 'g')) AS INTEGER) AS cg FROM reads WHERE seq IS NOT NULL"""
 )
 def seq9_two_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four bases a byte, and the C and G of bases 10 to 30."""
