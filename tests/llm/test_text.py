@@ -184,6 +184,26 @@ def test_no_document_with_two_signs_is_ruled_out(spark):
     assert found == {*range(40, 80), 90}
 
 
+def test_what_is_found_takes_no_classifier(spark, monkeypatch):
+    texts = [*TEXTS, "the cat of the mat", "zq1 xv2\nkj3", "zq1 xv2\nkj3", "1;2;3\n4;5;6", "the of.", None, "", ". . ."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    common = spark.createDataFrame([("the",), ("of",), (None,)], "word string")
+    want = [i for i, t in enumerate(texts) if signs_of(t or "", {"the", "of"}) >= 2]
+    assert 0 < len(want) < len(texts)
+
+    def unwanted(*_):
+        raise AssertionError("a stage without effect on the result")
+
+    for name in ("train", "score"):
+        monkeypatch.setattr(quality.ProseClassifier, name, unwanted)
+    monkeypatch.setattr(quality, "cut_lineage", unwanted)
+    found = quality.not_prose(df, common)
+    assert sorted(r.doc_id for r in found.collect()) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(quality.WORD) == 1  # words are cut once
+    monkeypatch.setattr(quality, "MOST_COMMON_WORDS", 1)
+    assert sorted(r.doc_id for r in quality.not_prose(df, common).collect()) == want
+
+
 def test_long_lists_of_common_words_are_joined(spark, monkeypatch):
     texts = [*TEXTS, "the cat of the mat", "the cat of the mat", "dog the", None, ""]
     df = spark.createDataFrame([(None if i % 3 else i % 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
